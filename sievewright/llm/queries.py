@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, urls
+from . import decontaminate, langid, lm, tokenids, urls
 
 QUERIES = {
+    "op2_token_ids": tokenids.op2_token_ids,
     "op4_language_id": langid.op4_language_id,
     "op6_url_filter": urls.op6_url_filter,
+    "op9_lm_scoring": lm.op9_lm_scoring,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLES = {"op6_url_filter": urls.SQL, "op10_decontaminate": decontaminate.SQL}
