@@ -7,7 +7,7 @@ word of every set bit. The parts' Hamming distances add up to at most the symmet
 principle at least two parts agree. Classes meet on (band, part, sketch) of non-empty parts and, for pairs that agree in
 empty parts only, on pairs of empty parts. What meets, directly or in a chain, is a cluster; no link leaves a cluster.
 
-Clusters are settled exactly, in blocks of at most ``block`` classes: inside a block, sketches of 512 bits (their Hamming
+Clusters are settled exactly, in blocks of at most ``block`` classes: inside a block, sketches of 2048 bits (their Hamming
 distance bounds the symmetric difference from below) and sizes pass pairs on to exact verification of the sets, skipping
 pairs already connected. A cluster of several blocks is dealt into blocks ``deals`` times by different hashes; then
 classes outside a cluster's largest component meet all its blocks. So copies and dense groups cost no more than their
@@ -31,7 +31,7 @@ from .graph import components, local_roots
 from .shared import stored, width
 
 U = np.uint64
-N, PERCENT, RATIO, BLOCK, DEALS = 4, 85, 1.35, 128, 3
+N, PERCENT, RATIO, BLOCK, DEALS = 4, 85, 1.35, 512, 2
 SKETCH = 512
 
 
@@ -176,8 +176,9 @@ def _settle(size: np.ndarray, at: np.ndarray, key: np.ndarray, percent: int, old
     return links
 
 
-def settled(dealt: DataFrame, percent: int) -> DataFrame:
-    """dealt: cell, name, comp, keys (binary). Links (a, b) that connect each cell's sets as far as they are linked."""
+def settled(dealt: DataFrame, n: int, percent: int) -> DataFrame:
+    """dealt: cell, name, comp, text. Links (a, b) that connect each cell's sets as far as they are linked. Texts travel,
+    not sets: compressed they take less than half; a text of another name (rows of one id) is passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held = None, []
@@ -185,23 +186,27 @@ def settled(dealt: DataFrame, percent: int) -> DataFrame:
         def links() -> Iterator[pa.RecordBatch]:
             if len(held) < 2:
                 return
-            keys = [np.frombuffer(k, U) for _, _, k in held]
-            size = np.array([len(k) for k in keys])
+            size = np.array([len(k) for _, _, k in held])
             at = np.concatenate([[0], np.cumsum(size)])
-            found = _settle(size, at, np.concatenate(keys), percent, np.array([c for _, c, _ in held]))
+            found = _settle(size, at, np.concatenate([k for _, _, k in held]), percent, np.array([c for _, c, _ in held]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([held[i][0] for i, _ in found]), pa.array([held[j][0] for _, j in found])], names=["a", "b"])
 
         for b in batches:
-            for c, *rest in zip(*(b.column(x).to_pylist() for x in ("cell", "name", "comp", "keys")), strict=True):
-                if c != cell:
-                    yield from links()
-                    cell = c
-                    held.clear()
-                held.append(rest)
+            cells, want, comp = (b.column(i).to_numpy() for i in range(3))
+            for w in W.words(b.column(3), W.SPACED):
+                bounds, key, name = sets(w, n)
+                for i, own in enumerate(name.astype(np.int64)):
+                    c = cells[w.lo + i]
+                    if c != cell:
+                        yield from links()
+                        cell = c
+                        held.clear()
+                    if own == want[w.lo + i]:
+                        held.append((own, comp[w.lo + i], key[bounds[i] : bounds[i + 1]].copy()))
         yield from links()
 
-    return dealt.repartition(width(dealt.sparkSession), "cell").sortWithinPartitions("cell").select("cell", "name", "comp", "keys").mapInArrow(run, "a long, b long")
+    return dealt.repartition(width(dealt.sparkSession), "cell").sortWithinPartitions("cell").select("cell", "name", "comp", "text").mapInArrow(run, "a long, b long")
 
 
 def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BLOCK, deals: int = DEALS) -> DataFrame:
@@ -219,26 +224,17 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BLO
     first = rows.where("n_shingles > 0 and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
     wanted = stored(first.join(met.withColumnRenamed("node", "name"), "name").select("doc_id", "name", "root"), "wanted")
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            want = b.column("name").to_numpy()
-            for w in W.words(b.column("text"), W.SPACED):
-                bounds, key, name = sets(w, n)
-                own = np.flatnonzero(name.astype(np.int64) == want[w.lo : w.hi])
-                take = b.take(pa.array(own + w.lo))
-                yield pa.RecordBatch.from_arrays([take.column("name"), take.column("root"), pa.array([key[bounds[i] : bounds[i + 1]].tobytes() for i in own], pa.binary())], names=["name", "root", "keys"])
-
-    members = docs.join(wanted, "doc_id").select("name", "root", "text").mapInArrow(keyed, "name long, root long, keys binary")
-    members = members.join(F.broadcast(_large(met, block)), "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    members = docs.join(wanted, "doc_id").select("name", "root", "text")
+    members = stored(members.join(F.broadcast(_large(met, block)), "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1))), "members", compression="zstd")
     deal = lambda seed: F.xxhash64("root", F.pmod(F.xxhash64("name", F.lit(seed)), F.col("parts")))
-    links = stored(settled(members.where("parts = 1").select(F.col("root").alias("cell"), "name", F.col("name").alias("comp"), "keys"), percent), "links")
-    large = stored(members.where("parts > 1").dropDuplicates(["name"]), "large")
+    links = stored(settled(members.where("parts = 1").select(F.col("root").alias("cell"), "name", F.col("name").alias("comp"), "text"), n, percent), "links")
+    large = members.where("parts > 1")
     if not large.isEmpty():
         for seed in range(deals):
             known = components(links)
             now = large.join(known.withColumnRenamed("node", "name").withColumnRenamed("root", "comp"), "name", "left").withColumn("comp", F.coalesce("comp", "name"))
-            links = stored(links.unionAll(settled(now.withColumn("cell", deal(seed)), percent)), "links")
-        links = stored(links.unionAll(_stragglers(large, links, percent)), "links")
+            links = stored(links.unionAll(settled(now.withColumn("cell", deal(seed)), n, percent)), "links")
+        links = stored(links.unionAll(_stragglers(large, links, n, percent)), "links")
     found = stored(components(links), "found") if not links.isEmpty() else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     # a class's documents, and the classes of a component, meet in two joins by name; a null id or empty set has no name
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
@@ -256,24 +252,24 @@ def _large(met: DataFrame, block: int) -> DataFrame:
     return met.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("root", parts.alias("parts"))
 
 
-def _stragglers(large: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+def _stragglers(large: DataFrame, links: DataFrame, n: int, percent: int) -> DataFrame:
     """Links of classes outside their cluster's largest component: they meet every block of the cluster."""
     known = components(links).withColumnRenamed("node", "name").withColumnRenamed("root", "comp")
-    now = stored(large.join(known, "name", "left").withColumn("comp", F.coalesce("comp", "name")), "now")
-    sizes = now.groupBy("root", "comp").agg(F.count(F.lit(1)).alias("n"))
+    told = stored(large.select("root", "name").distinct().join(known, "name", "left").withColumn("comp", F.coalesce("comp", "name")), "told")
+    sizes = told.groupBy("root", "comp").agg(F.count(F.lit(1)).alias("n"))
     main = stored(sizes.groupBy("root").agg(F.max(F.struct("n", "comp")).alias("m")).select("root", F.col("m.comp").alias("main")), "main")
-    now = stored(now.join(main, "root").withColumn("out", F.col("comp") != F.col("main")), "out")
-    few = now.where("out").groupBy("root").agg(F.count(F.lit(1)).alias("n_out"))
-    now = now.join(stored(few, "few"), "root")
+    told = stored(told.join(main, "root").withColumn("out", F.col("comp") != F.col("main")), "out")
+    few = stored(told.where("out").groupBy("root").agg(F.count(F.lit(1)).alias("n_out")), "few")
+    now = large.join(told.drop("root"), "name").join(few, "root")
     lots = F.greatest(F.lit(1), F.ceil(F.col("n_out") / 64)).cast("int")
     lot = F.pmod(F.xxhash64("name", F.lit("lot")), lots)
     part = F.pmod(F.xxhash64("name", F.lit("part")), F.col("parts"))
     # all classes, block by block, meet every lot of stragglers; a straggler goes to all blocks of its own lot
     pairs = now.select("*", part.alias("p"), lot.alias("l"), lots.alias("lots"))
-    whole = pairs.select("root", "name", "comp", "keys", "p", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("l"))
-    own = pairs.where("out").select("root", "name", "comp", "keys", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), "l")
-    both = whole.unionByName(own).withColumn("cell", F.xxhash64("root", "p", "l")).dropDuplicates(["cell", "name"])
-    return settled(both, percent)
+    whole = pairs.select("root", "name", "comp", "text", "p", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("l"))
+    own = pairs.where("out").select("root", "name", "comp", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), "l")
+    both = whole.unionByName(own).withColumn("cell", F.xxhash64("root", "p", "l"))
+    return settled(both, n, percent)
 
 
 def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
