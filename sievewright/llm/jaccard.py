@@ -2,10 +2,10 @@
 
 A document's set is its distinct word shingles, as 52-bit keys. Documents of equal sets form one class. Two sets of sizes
 a and b that reach the threshold differ in at most d(a, b) elements. Per band of sizes, elements fall by hash into
-d + 2 parts; a part's sketch has 2**52 / parts bits, each element flips one, and the sketch is held as the XOR of a Zobrist
+more than d parts; a part's sketch has 2**52 / parts bits, each element flips one, and the sketch is held as the XOR of a Zobrist
 word of every set bit. The parts' Hamming distances add up to at most the symmetric difference, so by the pigeonhole
-principle at least two parts agree. Classes meet on (band, part, sketch) of non-empty parts and, for pairs that agree in
-empty parts only, on pairs of empty parts. What meets, directly or in a chain, is a cluster; no link leaves a cluster.
+principle parts agree wherever a pair links. Classes meet on (band, part, sketch) of parts that hold more than a few
+elements; sets with many light parts meet on these too, and on pairs of empty parts. What meets, directly or in a chain, is a cluster; no link leaves a cluster.
 
 Clusters are settled exactly, in blocks of at most ``block`` classes: inside a block, sketches of 2048 bits (their Hamming
 distance bounds the symmetric difference from below) and sizes pass pairs on to exact verification of the sets, skipping
@@ -19,6 +19,7 @@ component null; rows of one id with different texts link what any of them links.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,17 +32,30 @@ from .graph import components, local_roots
 from .shared import stored, width
 
 U = np.uint64
-N, PERCENT, RATIO, BLOCK, DEALS = 4, 85, 1.35, 512, 2
-SKETCH = 512
+N, PERCENT, RATIO, BLOCK, DEALS = 4, 85, 1.35, 3000, 2
+SKETCH = 2048
 
 
-def bands(most: int, percent: int = PERCENT, ratio: float = RATIO) -> list[tuple[int, int, int]]:
-    """(smallest size, largest size of the smaller set, parts) up to sets of ``most`` elements."""
+def bands(most: int, percent: int = PERCENT, ratio: float = RATIO) -> list[tuple[int, int, int, int, int]]:
+    """(smallest size, largest size of the smaller set, parts, light, spare) up to sets of ``most`` elements.
+
+    Of d + 1 + spare parts at least 1 + spare agree. Parts of at most ``light`` elements say little (one shingle of a
+    common passage will do), so a set with at most ``spare`` light parts leaves them out: one of its heavy parts agrees.
+    ``spare`` is somewhat more than the light parts to be expected at the band's smallest size."""
     out, low = [], 1
     while low <= most:
         high = max(low, int(low * ratio))
         differ = (high + high * 100 // percent) * (100 - percent) // (100 + percent)
-        out.append((low, high, differ + 2 if differ else 1))
+        spare, light, parts = 0, 0, 1
+        if differ:
+            light = 2 if low >= 4.8 * (differ + 1) else 1 if low >= 2.5 * (differ + 1) else 0
+            spare = 1
+            for _ in range(8):
+                mean = low / (differ + 1 + spare)
+                share = math.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(light + 1))
+                spare = min(differ + 1, 1 + math.ceil(1.2 * share * (differ + 1 + spare)))
+            parts = differ + 1 + spare
+        out.append((low, high, parts, light, spare))
         low = high + 1
     return out
 
@@ -66,10 +80,10 @@ def sets(w: W.Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bounds, key, name
 
 
-def part_keys(size: np.ndarray, bounds: np.ndarray, key: np.ndarray, name: np.ndarray, table: list[tuple[int, int, int]], percent: int) -> tuple[np.ndarray, np.ndarray]:
+def part_keys(size: np.ndarray, bounds: np.ndarray, key: np.ndarray, name: np.ndarray, table: list[tuple[int, int, int, int, int]], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(meeting key, set name) of the given sets in all their bands."""
     out, names = [], []
-    for i, (low, high, parts) in enumerate(table):
+    for i, (low, high, parts, light, spare) in enumerate(table):
         mine = np.flatnonzero((size >= low) & (size <= high * 100 // percent))
         if not len(mine):
             continue
@@ -81,16 +95,18 @@ def part_keys(size: np.ndarray, bounds: np.ndarray, key: np.ndarray, name: np.nd
         first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
         sketch = np.bitwise_xor.reduceat(W.mix(k ^ U(0xA5A5)), first)
         tag = W.mix((cell[first] % parts).astype(U) * U(1_000_003) + U(i))
-        out.append(W.mix(sketch + tag))
-        names.append(name[mine[row[first]]])
-        if parts > 1:
-            full = np.bincount(row[first], minlength=len(mine))
-            for r in np.flatnonzero(full <= parts - 2):
-                own = np.searchsorted(cell[first], [r * parts, (r + 1) * parts])
-                empty = np.setdiff1d(np.arange(parts), cell[first][own[0] : own[1]] % parts).astype(U)
-                a, b = np.triu_indices(len(empty), 1)
-                out.append(W.mix(W.mix(empty[a] * U(65_537) + U(i) + U(1 << 40)) + empty[b]))
-                names.append(np.full(len(a), name[mine[r]]))
+        heavy = np.diff(np.append(first, len(cell))) > light
+        lights = parts - np.bincount(row[first], weights=heavy, minlength=len(mine)).astype(np.int64)
+        told = heavy | (lights > spare)[row[first]] | (parts == 1)
+        out.append(W.mix(sketch + tag)[told])
+        names.append(name[mine[row[first]]][told])
+        empties = parts - np.bincount(row[first], minlength=len(mine))
+        for r in np.flatnonzero((lights > spare) & (empties > spare) & (parts > 1)):
+            own = np.searchsorted(cell[first], [r * parts, (r + 1) * parts])
+            empty = np.setdiff1d(np.arange(parts), cell[first][own[0] : own[1]] % parts).astype(U)
+            a, b = np.triu_indices(len(empty), 1)
+            out.append(W.mix(W.mix(empty[a] * U(65_537) + U(i) + U(1 << 40)) + empty[b]))
+            names.append(np.full(len(a), name[mine[r]]))
     if not out:
         return np.zeros(0, U), np.zeros(0, U)
     out, names = np.concatenate(out), np.concatenate(names)
