@@ -7,6 +7,10 @@ word of every set bit. The parts' Hamming distances add up to at most the symmet
 principle parts agree wherever a pair links. Classes meet on (band, part, sketch) of parts that hold more than a few
 elements; sets with many light parts meet on these too, and on pairs of empty parts. What meets, directly or in a chain, is a cluster; no link leaves a cluster.
 
+A cluster of more than ``block`` classes is first cut finer: its members meet again, only among themselves and over
+narrower bands, and shingles that many of them hold no longer make a part telling. Which shingles count as common decides only
+how much is compared, never what is found: equal parts are equally telling on both sides.
+
 Clusters are settled exactly, in blocks of at most ``block`` classes: inside a block, sketches of 2048 bits (their Hamming
 distance bounds the symmetric difference from below) and sizes pass pairs on to exact verification of the sets, skipping
 pairs already connected. A cluster of several blocks is dealt into blocks ``deals`` times by different hashes; then
@@ -33,10 +37,12 @@ from .shared import stored, width
 
 U = np.uint64
 N, PERCENT, RATIO, BLOCK, DEALS = 4, 85, 1.35, 3000, 2
+FINE, SLACK, COMMON = 1.12, 1.35, 10
 SKETCH = 2048
+COMMON_BITS = 24
 
 
-def bands(most: int, percent: int = PERCENT, ratio: float = RATIO) -> list[tuple[int, int, int, int, int]]:
+def bands(most: int, percent: int = PERCENT, ratio: float = RATIO, slack: float = 1.2) -> list[tuple[int, int, int, int, int]]:
     """(smallest size, largest size of the smaller set, parts, light, spare) up to sets of ``most`` elements.
 
     Of d + 1 + spare parts at least 1 + spare agree. Parts of at most ``light`` elements say little (one shingle of a
@@ -53,7 +59,7 @@ def bands(most: int, percent: int = PERCENT, ratio: float = RATIO) -> list[tuple
             for _ in range(8):
                 mean = low / (differ + 1 + spare)
                 share = math.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(light + 1))
-                spare = min(differ + 1, 1 + math.ceil(1.2 * share * (differ + 1 + spare)))
+                spare = min(differ + 1, 1 + math.ceil(slack * share * (differ + 1 + spare)))
             parts = differ + 1 + spare
         out.append((low, high, parts, light, spare))
         low = high + 1
@@ -80,8 +86,9 @@ def sets(w: W.Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bounds, key, name
 
 
-def part_keys(size: np.ndarray, bounds: np.ndarray, key: np.ndarray, name: np.ndarray, table: list[tuple[int, int, int, int, int]], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(meeting key, set name) of the given sets in all their bands."""
+def part_keys(size: np.ndarray, bounds: np.ndarray, key: np.ndarray, name: np.ndarray, table: list[tuple[int, int, int, int, int]], percent: int, salt: np.ndarray, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(meeting key, set name) of the given sets in all their bands; only sets of one salt meet. A part that holds
+    nothing but ``common`` shingles counts as light."""
     out, names = [], []
     for i, (low, high, parts, light, spare) in enumerate(table):
         mine = np.flatnonzero((size >= low) & (size <= high * 100 // percent))
@@ -96,16 +103,19 @@ def part_keys(size: np.ndarray, bounds: np.ndarray, key: np.ndarray, name: np.nd
         sketch = np.bitwise_xor.reduceat(W.mix(k ^ U(0xA5A5)), first)
         tag = W.mix((cell[first] % parts).astype(U) * U(1_000_003) + U(i))
         heavy = np.diff(np.append(first, len(cell))) > light
+        if common is not None and len(first):
+            at = k >> U(52 - COMMON_BITS)
+            heavy &= np.logical_or.reduceat((common[at >> U(6)] >> (at & U(63))) & U(1) == 0, first)
         lights = parts - np.bincount(row[first], weights=heavy, minlength=len(mine)).astype(np.int64)
         told = heavy | (lights > spare)[row[first]] | (parts == 1)
-        out.append(W.mix(sketch + tag)[told])
+        out.append(W.mix((sketch + tag) ^ salt[mine[row[first]]])[told])
         names.append(name[mine[row[first]]][told])
         empties = parts - np.bincount(row[first], minlength=len(mine))
         for r in np.flatnonzero((lights > spare) & (empties > spare) & (parts > 1)):
             own = np.searchsorted(cell[first], [r * parts, (r + 1) * parts])
             empty = np.setdiff1d(np.arange(parts), cell[first][own[0] : own[1]] % parts).astype(U)
             a, b = np.triu_indices(len(empty), 1)
-            out.append(W.mix(W.mix(empty[a] * U(65_537) + U(i) + U(1 << 40)) + empty[b]))
+            out.append(W.mix((W.mix(empty[a] * U(65_537) + U(i) + U(1 << 40)) + empty[b]) ^ salt[mine[r]]))
             names.append(np.full(len(a), name[mine[r]]))
     if not out:
         return np.zeros(0, U), np.zeros(0, U)
@@ -132,9 +142,11 @@ def meet(edges_in: DataFrame) -> DataFrame:
     return edges_in.mapInArrow(run, "a long, b long")
 
 
-def clusters(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(node, root): classes that meet others, by cluster."""
+def clusters(docs: DataFrame, n: int, percent: int, common: np.ndarray | None = None) -> DataFrame:
+    """(node, root): classes that meet others, by cluster. With ``common`` shingles, docs have a root each and only rows
+    of one root meet."""
     k = 8 * width(docs.sparkSession)
+    fine = (FINE, SLACK) if common is not None else ()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, many = [], 0
@@ -155,7 +167,8 @@ def clusters(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 size = np.zeros(len(name), np.int64)
                 size[once] = np.diff(bounds)[once]  # of equal sets one stands for all
                 if size.max(initial=0):
-                    held.append(np.stack(part_keys(size, bounds[:-1], key, name, bands(int(size.max()), percent), percent), 1))
+                    salt = W.mix(b.column(1).to_numpy()[w.lo : w.hi].astype(U)) if common is not None else np.zeros(len(name), U)
+                    held.append(np.stack(part_keys(size, bounds[:-1], key, name, bands(int(size.max()), percent, *fine), percent, salt, common), 1))
                     many += len(held[-1])
                 if many > 1 << 20:
                     yield dealt()
@@ -163,10 +176,29 @@ def clusters(docs: DataFrame, n: int, percent: int) -> DataFrame:
         if held:
             yield dealt()
 
-    keyed = docs.select("text").mapInArrow(run, "bucket int, pairs binary").repartition(width(docs.sparkSession), "bucket")
+    keyed = docs.select("text", *(["root"] if common is not None else [])).mapInArrow(run, "bucket int, pairs binary").repartition(width(docs.sparkSession), "bucket")
     return components(meet(keyed))
 
 
+def common_shingles(docs: DataFrame, n: int, least: int = COMMON) -> np.ndarray:
+    """A bitmap of fixed size, 2**24 bits, over shingle keys: set for those that at least so many rows hold. Only its
+    words, at most 262,144, come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for w in W.words(b.column(0), W.SPACED):
+                key, count = np.unique(sets(w, n)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(count)], names=["key", "n"])
+
+    found = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    at = found.select(F.shiftright("key", 52 - COMMON_BITS).alias("at"))
+    bits = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    out = np.zeros(1 << (COMMON_BITS - 6), U)
+    got = bits.toPandas()
+    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(U)
+    return out
+
+
 def _settle(size: np.ndarray, at: np.ndarray, key: np.ndarray, percent: int, old: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect what is connected among some sets (key[at[i]:at[i + 1]], sorted); old: known components."""
     n = len(size)
@@ -180,6 +212,7 @@ def _settle(size: np.ndarray, at: np.ndarray, key: np.ndarray, percent: int, old
     for i in range(n - 1):
         rest = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
         differ = (size[rest] + size[i]) * (100 - percent) // (100 + percent)
+        rest, differ = (x[np.minimum(size[rest], size[i]) * 100 >= percent * np.maximum(size[rest], size[i])] for x in (rest, differ))
         rest = rest[np.bitwise_count(sketch[rest] ^ sketch[i]).sum(1) <= differ]
         for j in rest:
             if root[j] == root[i]:
@@ -241,16 +274,22 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BLO
     wanted = stored(first.join(met.withColumnRenamed("node", "name"), "name").select("doc_id", "name", "root"), "wanted")
 
     members = docs.join(wanted, "doc_id").select("name", "root", "text")
-    members = stored(members.join(F.broadcast(_large(met, block)), "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1))), "members", compression="zstd")
+    members = _parted(members, met, block, "members")
+    large = members.where("parts > 1")
+    if not large.isEmpty():
+        finer = stored(clusters(large, n, percent, common_shingles(large, n)), "finer")
+        finer_members = large.select("name", "text").join(finer.withColumnRenamed("node", "name"), "name")
+        finer_members = _parted(finer_members, finer, block, "refined")
+        members = members.where("parts = 1").unionByName(finer_members.where("parts = 1"))
+        large = finer_members.where("parts > 1")
     deal = lambda seed: F.xxhash64("root", F.pmod(F.xxhash64("name", F.lit(seed)), F.col("parts")))
     links = stored(settled(members.where("parts = 1").select(F.col("root").alias("cell"), "name", F.col("name").alias("comp"), "text"), n, percent), "links")
-    large = members.where("parts > 1")
     if not large.isEmpty():
         for seed in range(deals):
             known = components(links)
             now = large.join(known.withColumnRenamed("node", "name").withColumnRenamed("root", "comp"), "name", "left").withColumn("comp", F.coalesce("comp", "name"))
             links = stored(links.unionAll(settled(now.withColumn("cell", deal(seed)), n, percent)), "links")
-        links = stored(links.unionAll(_stragglers(large, links, n, percent)), "links")
+        links = stored(links.unionAll(_stragglers(large, links, n, percent, block)), "links")
     found = stored(components(links), "found") if not links.isEmpty() else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     # a class's documents, and the classes of a component, meet in two joins by name; a null id or empty set has no name
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
@@ -262,13 +301,19 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BLO
     return out.select("doc_id", "n_shingles", "component_id").unionAll(rows.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def _parted(members: DataFrame, met: DataFrame, block: int, name: str) -> DataFrame:
+    """members, stored, with the number of blocks of each one's cluster."""
+    parts = F.coalesce("parts", F.lit(1)).alias("parts")
+    return stored(members.join(F.broadcast(_large(met, block)), "root", "left").select("root", "name", "text", parts), name, compression="zstd")
+
+
 def _large(met: DataFrame, block: int) -> DataFrame:
     """Clusters of more than one block, and into how many they are dealt: at most classes / block rows."""
     parts = F.ceil(F.col("n") / block).cast("int")
     return met.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("root", parts.alias("parts"))
 
 
-def _stragglers(large: DataFrame, links: DataFrame, n: int, percent: int) -> DataFrame:
+def _stragglers(large: DataFrame, links: DataFrame, n: int, percent: int, block: int) -> DataFrame:
     """Links of classes outside their cluster's largest component: they meet every block of the cluster."""
     known = components(links).withColumnRenamed("node", "name").withColumnRenamed("root", "comp")
     told = stored(large.select("root", "name").distinct().join(known, "name", "left").withColumn("comp", F.coalesce("comp", "name")), "told")
@@ -277,7 +322,7 @@ def _stragglers(large: DataFrame, links: DataFrame, n: int, percent: int) -> Dat
     told = stored(told.join(main, "root").withColumn("out", F.col("comp") != F.col("main")), "out")
     few = stored(told.where("out").groupBy("root").agg(F.count(F.lit(1)).alias("n_out")), "few")
     now = large.join(told.drop("root"), "name").join(few, "root")
-    lots = F.greatest(F.lit(1), F.ceil(F.col("n_out") / 64)).cast("int")
+    lots = F.greatest(F.lit(1), F.ceil(F.col("n_out") / block)).cast("int")
     lot = F.pmod(F.xxhash64("name", F.lit("lot")), lots)
     part = F.pmod(F.xxhash64("name", F.lit("part")), F.col("parts"))
     # all classes, block by block, meet every lot of stragglers; a straggler goes to all blocks of its own lot
