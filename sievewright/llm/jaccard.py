@@ -170,7 +170,7 @@ def clusters(docs: DataFrame, n: int, percent: int, common: np.ndarray | None =
                     salt = W.mix(b.column(1).to_numpy()[w.lo : w.hi].astype(U)) if common is not None else np.zeros(len(name), U)
                     held.append(np.stack(part_keys(size, bounds[:-1], key, name, bands(int(size.max()), percent, *fine), percent, salt, common), 1))
                     many += len(held[-1])
-                if many > 1 << 20:
+                if many > 1 << 18:
                     yield dealt()
                     many = 0
         if held:

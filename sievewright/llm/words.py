@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-SLICE = 3 << 20
+SLICE = 1 << 20
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
