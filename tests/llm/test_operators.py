@@ -52,6 +52,22 @@ def test_jaccard_equals_brute_force(spark, rows):
         assert sorted(map(tuple, got), key=repr) == want
 
 
+def test_jaccard_with_a_common_passage_equals_brute_force(spark):
+    r = np.random.default_rng(11)
+    passage = " ".join(r.choice(VOCAB, 40))
+    texts = [passage + " " + " ".join(r.choice(VOCAB, int(n))) for n in r.integers(5, 120, 30)]
+    texts += [t + " tail" for t in texts[::3]]
+    sets = [frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3)) for w in map(words, texts)]
+    comp = list(range(len(texts)))
+    for _ in texts:
+        for a, x in enumerate(sets):
+            for b, y in enumerate(sets):
+                if 100 * len(x & y) >= 85 * len(x | y):
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+    got = jaccard.joined(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=2).collect()
+    assert sorted(map(tuple, got)) == [(i, len(x), comp[i]) for i, x in enumerate(sets)]
+
+
 def test_empty_tables_give_no_rows(spark):
     none = spark.createDataFrame([], DOCS)
     for df in (jaccard.joined(none), langid.digest(none), tokenids.read(tokenids.written(none, "word_bpe_49k.json")), mixing.digest(none), sharding.sharded(none)):
