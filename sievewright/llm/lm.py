@@ -1,15 +1,16 @@
 """Language-model scoring by prediction by partial matching over bytes, with a word unigram base beside it.
 
-The byte model. All training texts' byte runs of ``order`` + 1 are counted (pads before a text, an end symbol after it)
-and merged by hash bucket; a bucket keeps its ``grams`` / buckets most frequent runs, which bounds the model. They make a
-context trie of at most ``nodes`` contexts, the most frequent, of 0 to ``order`` bytes. In a context a symbol's share is
-its count over total + distinct symbols, the escape's share distinct over the same; an escape goes to the next shorter
-context, where all symbols of longer contexts are excluded; the last resort is even over what is left of 257 symbols.
-Contexts and their blended probabilities become two dense tables, so a document's code length is a sum of lookups.
-
-The base. Counts of words (and of the end of a document) in all training documents, asked for by hash chunk of documents
-and answered by hash bucket of words: tasks send their distinct word keys, each bucket adds up and answers in the order
-asked. No count is dropped, nothing that grows with the corpus is broadcast.
+The byte model. The runs of ``order`` + 1 bytes of all training texts (pads before a text, an end symbol after it) are
+the leaves of a context trie; no run and no context is left out, so the trie grows with the corpus and lives in hash
+buckets, never in one place. In a context a symbol of count c has the share (2c - 1) / 2t, the escape d / 2t (t symbols
+seen, d distinct); an escape goes to the context one byte shorter, where all symbols of the longer one are excluded; the
+last resort is even over what is left of 257 symbols. As a shorter context has all symbols of the longer, what exclusion
+takes from it is one sum and one number a context.
+
+Both models are asked alike. Documents are dealt to hash chunks; a chunk sends its distinct word keys and byte runs,
+each with its count in training documents, to hash buckets; a bucket adds up and answers in the order asked. Runs go by
+their last three context bytes, so all contexts of three bytes and more that a bucket needs are its own. Shorter ones
+come from the counts of three-byte runs, at most 2**24 whatever the corpus holds, the one thing that is broadcast.
 
 Defined results: null text is empty (one token, the end); rows with equal ids are scored one by one; a null id is hashed
 as the empty string; without training documents all counts are 0 and every byte costs log10 257.
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import count
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,10 @@ from .langid import fold
 from .shared import stored, width
 
 U = np.uint64
-ORDER, GRAMS, NODES = 4, 1_500_000, 90_000
+#: Context bytes of the model, 3 to 7.
+ORDER = 6
+#: Bytes of the runs whose counts every bucket gets, and into how many parts their sums are dealt.
+LOW, PARTS = 3, 16
 #: Fixed values, bytes that UTF-8 never holds: what stands before a text, and its end.
 PAD, END = 0xFE, 0xFF
 
@@ -56,153 +60,153 @@ def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n[by], first) if len(first) else n
 
 
-def grams(docs: DataFrame, order: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Byte runs of order + 1 and their counts over all rows; at most ``most``, by bucket the most frequent."""
-    n_buckets = width(docs.sparkSession)
+def runs(w: W.Words, order: int) -> np.ndarray:
+    """The run that ends in each coded byte: itself in the lowest 8 bits, the byte before it in the next, and so on."""
+    text, at = symbols(w, order)
+    code = np.zeros(len(at), U)
+    for j in range(order + 1):
+        code |= text[at - j].astype(U) << U(8 * j)
+    return code
+
+
+def _counted(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    code.sort()
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+    return code[first], np.diff(np.append(first, len(code)))
+
+
+class Sums:
+    """Keys and their summed counts, merged as they come so that only distinct keys stay."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.held.append((keys, n))
+        self.size += len(keys)
+        if self.size > 2 * len(self.held[0][0]) + (1 << 20):
+            self.held = [self.done()]
+            self.size = len(self.held[0][0])
+
+    def done(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.zeros(0, U), np.zeros(0, np.int64)
+        return _sums(np.concatenate([k for k, _ in self.held]), np.concatenate([n for _, n in self.held]))
+
+
+class Level(NamedTuple):
+    """Contexts of one length: sorted runs (context and symbol) and their counts; contexts, their symbols seen and
+    distinct, and the count of the same symbols in the context one byte shorter."""
+
+    run: np.ndarray
+    n: np.ndarray
+    context: np.ndarray
+    seen: np.ndarray
+    distinct: np.ndarray
+    shorter: np.ndarray
+
+
+def _tail(keys: np.ndarray, n_bytes: int) -> np.ndarray:
+    return keys & U((1 << 8 * n_bytes) - 1)
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+def levels(keys: np.ndarray, n: np.ndarray, order: int, below: list[Level]) -> list[Level]:
+    """``below`` and the levels after it up to ``order``, from runs of order + 1 bytes and their counts."""
+    found = list(below)
+    for j in range(len(below), order + 1):
+        run, c = _sums(_tail(keys, j + 1), n)
+        context = run >> U(8)
+        first = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(run) else np.zeros(0, np.int64)
+        shorter = np.zeros(len(run), np.int64)
+        if j and len(run):
+            shorter = found[-1].n[_find(found[-1].run, _tail(run, j))[0]]
+        add = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0, np.int64)  # noqa: B023, E731
+        found.append(Level(run, c, context[first], add(c), np.diff(np.append(first, len(run))), add(shorter)))
+    return found
+
+
+def costs(keys: np.ndarray, model: list[Level]) -> np.ndarray:
+    """log10 probability of the last symbol of each run after the others, from the longest context downwards."""
+    cost, open_ = np.zeros(len(keys)), np.ones(len(keys), bool)
+    less, fewer = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+    for j in range(len(model) - 1, -1, -1):
+        level, run = model[j], _tail(keys, j + 1)
+        at, known = _find(level.context, run >> U(8))
+        if not known.any():
+            continue
+        seen = np.where(known, level.seen[at] - less, 0)
+        distinct = np.where(known, level.distinct[at] - fewer, 0)
+        i, has = _find(level.run, run)
+        use = open_ & (seen > 0)
+        hit, miss = use & has, use & ~has
+        cost[hit] += np.log10((2 * level.n[i[hit]] - 1) / (2 * seen[hit]))
+        cost[miss] += np.log10(distinct[miss] / (2 * seen[miss]))
+        open_ &= ~hit
+        less, fewer = np.where(known, level.shorter[at], 0), np.where(known, level.distinct[at], 0)
+    symbols_seen = int(model[0].distinct[0]) if len(model[0].distinct) else 0
+    cost[open_] -= np.log10(257 - symbols_seen)
+    return cost
+
+
+def low(docs: DataFrame) -> list[Level]:
+    """Levels of contexts of 0 to 2 bytes, from all rows' runs of 3 bytes; of those there are at most 2**24."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merge() -> None:
-            keys, n = _sums(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
-            held[:] = [(keys, n)]
-
+        held = Sums()
         for b in batches:
             for w in W.words(b.column(0), W.SPACED, keys=False):
-                text, at = symbols(w, order)
-                code = np.zeros(len(at), U)
-                for j in range(order + 1):
-                    code |= text[at - j].astype(U) << U(8 * j)
-                code.sort()
-                first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-                held.append((code[first], np.diff(np.append(first, len(code)))))
-                if len(held) >= 8:
-                    merge()
-        if held:
-            merge()
-            keys, n = held[0]
-            bucket = (W.mix(keys) % U(n_buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
-            for i in range(n_buckets):
-                own = by[cut[i] : cut[i + 1]]
-                if len(own):
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([keys[own].tobytes()], pa.binary()), pa.array([n[own].astype("<i8").tobytes()], pa.binary())], names=["bucket", "keys", "n"])
+                held.add(*_counted(runs(w, LOW - 1)))
+        keys, n = held.done()
+        part = (W.mix(keys) % U(PARTS)).astype(np.int64)
+        for i in np.unique(part).tolist():
+            own = part == i
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([keys[own].tobytes()], pa.binary()), pa.array([n[own].astype("<i8").tobytes()], pa.binary())], names=["part", "keys", "n"])
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_bucket: dict[int, list] = {}
+        held = Sums()
         for b in batches:
-            for i, k, n in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-                by_bucket.setdefault(i, []).append((np.frombuffer(k, U), np.frombuffer(n, np.int64)))
-        for held in by_bucket.values():
-            keys, n = _sums(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
-            top = np.lexsort((keys, -n))[: max(1, most // n_buckets)]
-            yield pa.RecordBatch.from_arrays([pa.array([keys[top].tobytes()], pa.binary()), pa.array([n[top].tobytes()], pa.binary())], names=["keys", "n"])
-
-    rows = docs.select("text").mapInArrow(collect, "bucket int, keys binary, n binary").repartition(n_buckets, "bucket").mapInArrow(reduce, "keys binary, n binary").collect()
-    return (np.concatenate([np.frombuffer(r[0], U) for r in rows]), np.concatenate([np.frombuffer(r[1], np.int64) for r in rows])) if rows else (np.zeros(0, U), np.zeros(0, np.int64))
-
-
-class Trie:
-    """Dense tables of a byte model: child[context, symbol before it] and cost[context, symbol] in log10."""
-
-    def __init__(self, keys: np.ndarray, n: np.ndarray, order: int = ORDER, nodes: int = NODES):
-        self.order = order
-        byte = np.unique(np.concatenate([(keys >> U(8 * j)) & U(255) for j in range(order + 1)] or [np.zeros(0, U)]).astype(np.int64))
-        self.symbol = np.full(256, len(byte), np.int64)
-        self.symbol[byte] = np.arange(len(byte))
-        width_ = self.width = len(byte) + 1
-        coded = np.setdiff1d(byte, [PAD])
-        # contexts of each length, their counts, and the most frequent of all
-        by_length = [_sums((keys >> U(8)) & U((1 << 8 * k) - 1), n) for k in range(order + 1)]
-        total = np.concatenate([c for _, c in by_length])
-        length = np.repeat(np.arange(order + 1), [len(k) for k, _ in by_length])
-        least = np.sort(total)[-nodes] if len(total) > nodes else 0
-        kept, self.base = [], [0]
-        for k, (ctx, c) in enumerate(by_length):
-            kept.append(ctx[(c > least) | (k == 0) | (least == 0)])
-            self.base.append(self.base[-1] + len(kept[-1]))
-        del total, length
-        size = max(1, self.base[-1])
-        # a kept context's shorter contexts are as frequent, so they are kept too; row `size` is dead
-        self.child = np.full((size + 1, width_), -1, np.int32)
-        counts = []
-        for k in range(order + 1):
-            runs, c = _sums(keys & U((1 << 8 * (k + 1)) - 1), n)
-            at = np.searchsorted(kept[k], runs >> U(8))
-            at = np.minimum(at, max(0, len(kept[k]) - 1))
-            own = kept[k][at] == runs >> U(8) if len(kept[k]) else np.zeros(len(runs), bool)
-            counts.append((at[own], self.symbol[(runs[own] & U(255)).astype(np.int64)], c[own]))
-            if k:
-                parent = np.searchsorted(kept[k - 1], kept[k] & U((1 << 8 * (k - 1)) - 1))
-                self.child[self.base[k - 1] + parent, self.symbol[(kept[k] >> U(8 * (k - 1))).astype(np.int64)]] = self.base[k] + np.arange(len(kept[k]))
-        self.cost = np.empty((size, width_), np.float32)
-        if not len(keys):
-            self.cost[:] = -np.log10(257)
-            return
-        can = np.zeros(width_, bool)
-        can[self.symbol[coded]] = True
-        order_by = [np.argsort(r, kind="stable") for r, _, _ in counts]
-        counts = [(r[o], s[o], c[o]) for (r, s, c), o in zip(counts, order_by, strict=True)]
-        for k in range(order + 1):
-            for lo in range(0, len(kept[k]), 2048):
-                ctx = kept[k][lo : lo + 2048]
-                self.cost[self.base[k] + lo : self.base[k] + lo + len(ctx)] = self._blend(ctx, k, kept, counts, can)
-
-    def _blend(self, ctx, k, kept, counts, can) -> np.ndarray:
-        left = np.tile(can, (len(ctx), 1))
-        share, escape = np.zeros((len(ctx), self.width)), np.ones(len(ctx))
-        for j in range(k, -1, -1):
-            row = np.searchsorted(kept[j], ctx & U((1 << 8 * j) - 1))
-            own, inverse = np.unique(row, return_inverse=True)
-            r, s, c = counts[j]
-            a, b = np.searchsorted(r, own), np.searchsorted(r, own, "right")
-            n = b - a
-            at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            dense = np.zeros((len(own), self.width))
-            dense[np.repeat(np.arange(len(own)), n), s[at]] = c[at]
-            dense = dense[inverse] * left
-            distinct = (dense > 0).sum(1)
-            whole = dense.sum(1) + distinct
-            some = whole > 0
-            share[some] += dense[some] * (escape[some] / whole[some])[:, None]
-            escape[some] *= distinct[some] / whole[some]
-            left &= dense == 0
-        rest = escape / (left.sum(1) + 257 - can.sum())
-        share = np.where(share > 0, share, rest[:, None])
-        return np.log10(np.maximum(share, 1e-30))
-
-    def score(self, w: W.Words) -> np.ndarray:
-        """log10 probability of each row's text and end."""
-        text, at = symbols(w, self.order)
-        s = self.symbol[text]
-        dead = len(self.cost)
-        flat, node, deepest = self.child.reshape(-1), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        for j in range(1, self.order + 1):
-            nxt = flat[node * self.width + s[at - j]]
-            missing = nxt < 0
-            deepest = np.where(missing, deepest, nxt)
-            node = np.where(missing, dead, nxt)
-        cost = self.cost.reshape(-1)[deepest * self.width + s[at]].astype(np.float64)
-        first = w.text[:-1] + np.arange(len(w.text) - 1)
-        return np.add.reduceat(cost, first) if len(first) else cost
-
-
-_tries: dict[int, Trie] = {}
-_serial = count()
-
-
-def scored(docs: DataFrame, train: str, order: int = ORDER, n_grams: int = GRAMS, nodes: int = NODES) -> DataFrame:
+            for k, n in zip(b.column("keys").to_pylist(), b.column("n").to_pylist(), strict=True):
+                held.add(np.frombuffer(k, U), np.frombuffer(n, np.int64))
+        keys, n = held.done()
+        if len(keys):
+            yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["keys", "n"])
+
+    rows = docs.select("text").mapInArrow(collect, "part int, keys binary, n binary").repartition(PARTS, "part").mapInArrow(reduce, "keys binary, n binary").collect()
+    total = Sums()
+    for k, n in rows:
+        total.add(np.frombuffer(k, U), np.frombuffer(n, np.int64))
+    return levels(*total.done(), LOW - 1, [])
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as compressed byte planes of their steps."""
+    steps = np.diff(keys, prepend=U(0)).astype("<u8")
+    return zlib.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=U)
+
+
+def scored(docs: DataFrame, train: str, order: int = ORDER) -> DataFrame:
     """doc_id, the boolean column ``train``, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
     k, own = width(spark), docs.select("doc_id", F.col(train).alias("train"), F.coalesce("text", F.lit("")).alias("text"))
-    model = spark.sparkContext.broadcast((*grams(own.where("train"), order, n_grams), order, nodes))
-    token = next(_serial)
+    below = spark.sparkContext.broadcast(low(own.where("train")))
     own = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(k)).cast("int"))
 
-    def buckets(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def buckets(keys: np.ndarray, of_runs: bool) -> tuple[np.ndarray, np.ndarray]:
         """Order of sorted keys by bucket, and where each bucket begins in it."""
-        bucket = (keys % U(k)).astype(np.int64)
+        bucket = ((W.mix(_tail(keys >> U(8), LOW)) if of_runs else keys) % U(k)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         return by, np.searchsorted(bucket[by], np.arange(k + 1))
 
@@ -212,37 +216,44 @@ def scored(docs: DataFrame, train: str, order: int = ORDER, n_grams: int = GRAMS
             yield c, b.filter(pc.equal(chunk, c))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        ends: dict[int, int] = {}
+        held: dict[int, tuple[Sums, Sums]] = {}
         for b in batches:
             for c, part in by_chunk(b):
-                train_ = part.column("train").to_numpy(zero_copy_only=False)
-                ends[c] = ends.get(c, 0) + int(train_.sum())
+                trains = part.column("train").to_numpy(zero_copy_only=False)
+                of_words, of_runs = held.setdefault(c, (Sums(), Sums()))
                 for w in W.words(part.column("text"), W.SPACED):
+                    own_ = trains[w.lo : w.hi]
                     keys, at = np.unique(w.key, return_inverse=True)
-                    n = np.bincount(at, weights=np.repeat(train_[w.lo : w.hi], w.counts()), minlength=len(keys)).astype(np.int64)
-                    mine = held.setdefault(c, [])
-                    mine.append((keys, n))
-                    if len(mine) > 8:
-                        mine[:] = [_sums(np.concatenate([x for x, _ in mine]), np.concatenate([x for _, x in mine]))]
-        for c, mine in held.items():
-            keys, n = _sums(np.concatenate([x for x, _ in mine]), np.concatenate([x for _, x in mine]))
-            by, cut = buckets(keys)
-            out = [(i, c, keys[by[cut[i] : cut[i + 1]]].tobytes(), zlib.compress(n[by[cut[i] : cut[i + 1]]].astype("<i4").tobytes(), 1)) for i in range(k) if cut[i] < cut[i + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "keys", "n"])
+                    of_words.add(keys, np.bincount(at, weights=np.repeat(own_, w.counts()), minlength=len(keys)).astype(np.int64))
+                    code, trained = runs(w, order), np.repeat(own_, np.diff(w.text) + 1)
+                    of_runs.add(*_counted(code[trained]))
+                    asked_ = _counted(code[~trained])[0]
+                    of_runs.add(asked_, np.zeros(len(asked_), np.int64))
+        for c in list(held):
+            for runs_, sums in enumerate(held.pop(c)):
+                keys, n = sums.done()
+                by, cut = buckets(keys, bool(runs_))
+                out = []
+                for i in np.flatnonzero(np.diff(cut)).tolist():
+                    mine = by[cut[i] : cut[i + 1]]
+                    out.append((k * runs_ + i, c, _packed(keys[mine]) if runs_ else keys[mine].tobytes(), zlib.compress(n[mine].astype("<i8").tobytes(), 1)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "keys", "n"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for b in batches:
             for i, *rest in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
                 held.setdefault(i, []).append(rest)
-        for i, asked in held.items():
-            keys = [np.frombuffer(x, U) for _, x, _ in asked]
-            total, n = _sums(np.concatenate(keys), np.concatenate([np.frombuffer(zlib.decompress(x), "<i4").astype(np.int64) for *_, x in asked]))
-            out = [zlib.compress(n[np.searchsorted(total, x)].astype("<i8").tobytes(), 1) for x in keys]
+        for i in list(held):
+            asked = held.pop(i)
+            keys = [_unpacked(x) if i >= k else np.frombuffer(x, U) for _, x, _ in asked]
+            total, n = _sums(np.concatenate(keys), np.concatenate([np.frombuffer(zlib.decompress(x), "<i8") for *_, x in asked]))
+            tokens, distinct = (0, 0) if i >= k else (int(n.sum()), int((n > 0).sum()))
+            told = costs(total, levels(total[n > 0], n[n > 0], order, below.value)).astype("<f4") if i >= k else n.astype("<i8")
+            out = [zlib.compress(told[np.searchsorted(total, x)].tobytes(), 1) for x in keys]
             first = np.arange(len(out)) == 0
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(out), i), pa.int32()), pa.array([c for c, *_ in asked], pa.int32()), pa.array(out, pa.binary()), pa.array(first * int(n.sum())), pa.array(first * int((n > 0).sum()))],
+                [pa.array(np.full(len(out), i), pa.int32()), pa.array([c for c, *_ in asked], pa.int32()), pa.array(out, pa.binary()), pa.array(first * tokens), pa.array(first * distinct)],
                 names=["bucket", "chunk", "counts", "tokens", "distinct"],
             )
 
@@ -252,12 +263,17 @@ def scored(docs: DataFrame, train: str, order: int = ORDER, n_grams: int = GRAMS
     ends = own.where("train").count()
     n, v = n + ends, v + (ends > 0)
 
+    def told(keys: np.ndarray, said: dict[int, bytes], of_runs: bool) -> np.ndarray:
+        """What the buckets answered, in the order of the keys."""
+        by, _ = buckets(keys, of_runs)
+        out = np.zeros(len(keys), "<f4" if of_runs else "<i8")
+        found = [np.frombuffer(zlib.decompress(x), out.dtype) for i, x in sorted(said.items()) if (i >= k) == of_runs]
+        if found:
+            out[by] = np.concatenate(found)
+        return out
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if token not in _tries:
-            _tries.clear()
-            _tries[token] = Trie(*model.value)
-        trie = _tries[token]
-        docs_: dict[int, list] = {}
+        texts: dict[int, list[pa.RecordBatch]] = {}
         counts: dict[int, dict[int, bytes]] = {}
         for b in batches:
             for c, part in by_chunk(b):
@@ -265,25 +281,33 @@ def scored(docs: DataFrame, train: str, order: int = ORDER, n_grams: int = GRAMS
                 for i, x in zip(said.column("bucket").to_pylist(), said.column("counts").to_pylist(), strict=True):
                     counts.setdefault(c, {})[i] = x
                 part = part.filter(pc.is_valid(part.column("text")))
+                if len(part):
+                    texts.setdefault(c, []).append(part)
+        for c in list(texts):
+            parts, said = texts.pop(c), counts.pop(c, {})
+            of_words, of_runs = Sums(), Sums()
+            for part in parts:
                 for w in W.words(part.column("text"), W.SPACED):
-                    rows = part.slice(w.lo, w.hi - w.lo)
-                    docs_.setdefault(c, []).append((rows.column("doc_id"), rows.column("train"), w.counts(), w.key, trie.score(w)))
-        for c, held in docs_.items():
-            keys, at = np.unique(np.concatenate([x[3] for x in held]), return_inverse=True)
-            by, _ = buckets(keys)
-            found = [np.frombuffer(zlib.decompress(x), "<i8") for _, x in sorted(counts.get(c, {}).items())]
-            known = np.zeros(len(keys), np.int64)
-            known[by] = np.concatenate(found) if found else known
-            size = np.concatenate([x[2] for x in held])
-            first = np.cumsum(size) - size
-            sums = np.concatenate([[0.0], np.cumsum((known > 0)[at])])
-            n_known = sums[first + size] - sums[first] + (ends > 0)
-            log = np.append(np.log10(known + 1.0)[at], 0.0)
-            base = np.where(size > 0, np.add.reduceat(log, first), 0.0) + np.log10(ends + 1.0) - (size + 1) * np.log10(n + v + 1.0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([x[0] for x in held]), pa.concat_arrays([x[1] for x in held]), pa.array(size + 1), pa.array(n_known.astype(np.int64)), pa.array(np.full(len(size), n)), pa.array(base), pa.array(np.concatenate([x[4] for x in held]))],
-                names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+                    of_words.add(*_counted(w.key))
+                    of_runs.add(*_counted(runs(w, order)))
+            keys, codes = of_words.done()[0], of_runs.done()[0]
+            known, cost = told(keys, said, False), told(codes, said, True)
+            for part in parts:
+                for w in W.words(part.column("text"), W.SPACED):
+                    rows, size = part.slice(w.lo, w.hi - w.lo), w.counts()
+                    seen = known[np.searchsorted(keys, w.key)]
+                    first = np.cumsum(size) - size
+                    sums = np.concatenate([[0], np.cumsum(seen > 0)])
+                    n_known = sums[first + size] - sums[first] + (ends > 0)
+                    log = np.append(np.log10(seen + 1.0), 0.0)
+                    base = np.where(size > 0, np.add.reduceat(log, first), 0.0) + np.log10(ends + 1.0) - (size + 1) * np.log10(n + v + 1.0)
+                    code, at = np.unique(runs(w, order), return_inverse=True)
+                    each = cost[np.searchsorted(codes, code)].astype(np.float64)[at]
+                    score = np.add.reduceat(each, w.text[:-1] + np.arange(len(size)))
+                    yield pa.RecordBatch.from_arrays(
+                        [rows.column("doc_id"), rows.column("train"), pa.array(size + 1), pa.array(n_known.astype(np.int64)), pa.array(np.full(len(size), n)), pa.array(base), pa.array(score)],
+                        names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                    )
 
     nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
     kind = dict(own.dtypes)["doc_id"]

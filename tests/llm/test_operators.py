@@ -138,6 +138,47 @@ def test_language_model_base_and_score(spark, rows):
     assert all(r.train_tokens == n and abs(r.base_score - want[r.doc_id]) < 1e-6 for r in got)
 
 
+@pytest.mark.parametrize("order", [3, 6, 7])
+def test_language_model_score_equals_brute_force(spark, rows, order):
+    """Symbol by symbol over plain dictionaries, with the excluded symbols as a set."""
+    docs = spark.createDataFrame(rows, DOCS)
+    got = lm.scored(docs.withColumn("train", langid.fold("doc_id", 7) != 2), "train", order).collect()
+    seen = {}
+    coded = {r[1]: [0xFE] * order + list(re.sub("[A-Z]+", lambda m: m[0].lower(), r[1] or "").encode()) + [0xFF] for r in rows}
+    for r in rows:
+        text = coded[r[1]]
+        if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 != 2:
+            for i in range(order, len(text)):
+                for j in range(order + 1):
+                    counts = seen.setdefault(tuple(text[i - j : i]), {})
+                    counts[text[i]] = counts.get(text[i], 0) + 1
+
+    def cost(text):
+        total = 0.0
+        for i in range(order, len(text)):
+            out, p = set(), 1.0
+            for j in range(order, -1, -1):
+                left = {s: c for s, c in seen.get(tuple(text[i - j : i]), {}).items() if s not in out}
+                if not left:
+                    continue
+                if text[i] in left:
+                    p *= (2 * left[text[i]] - 1) / (2 * sum(left.values()))
+                    break
+                p *= len(left) / (2 * sum(left.values()))
+                out |= set(left)
+            else:
+                p /= 257 - len(out)
+            total += np.log10(p)
+        return total
+
+    want = {text: cost(symbols) for text, symbols in coded.items()}
+    by_id = {}
+    for r in rows:
+        by_id.setdefault(r[0], []).append(want[r[1]])
+    for r in got:
+        assert min(abs(r.score / x - 1) for x in by_id[r.doc_id]) < 1e-6
+
+
 def test_language_id_und_and_held_out(spark, rows):
     got = {r.doc_id: r for r in langid.digest(spark.createDataFrame(rows, DOCS)).collect()}
     assert all((r.lang_pred == "und") == (not re.search(r"[^\W\d_]", next(x[1] or "" for x in rows if x[0] == i))) for i, r in got.items())
