@@ -85,7 +85,7 @@ class Sums:
     def add(self, keys: np.ndarray, n: np.ndarray) -> None:
         self.held.append((keys, n))
         self.size += len(keys)
-        if self.size > 2 * len(self.held[0][0]) + (1 << 20):
+        if self.size > 3 * len(self.held[0][0]) // 2 + (1 << 18):
             self.held = [self.done()]
             self.size = len(self.held[0][0])
 
@@ -210,17 +210,24 @@ def scored(docs: DataFrame, train: str, order: int = ORDER) -> DataFrame:
         by = np.argsort(bucket, kind="stable")
         return by, np.searchsorted(bucket[by], np.arange(k + 1))
 
-    def by_chunk(b: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
-        chunk = b.column("chunk")
-        for c in pc.unique(chunk).to_pylist():
-            yield c, b.filter(pc.equal(chunk, c))
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+        """Parts of each value of the first column, by which the rows are sorted: one chunk or bucket is held at a time."""
+        last, parts = None, []
+        for b in batches:
+            for x in pc.unique(b.column(0)).to_pylist():
+                if x != last and parts:
+                    yield last, parts
+                    parts = []
+                last = x
+                parts.append(b.filter(pc.equal(b.column(0), x)))
+        if parts:
+            yield last, parts
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[Sums, Sums]] = {}
-        for b in batches:
-            for c, part in by_chunk(b):
+        for c, parts in grouped(batches):
+            of_words, of_runs = Sums(), Sums()
+            for part in parts:
                 trains = part.column("train").to_numpy(zero_copy_only=False)
-                of_words, of_runs = held.setdefault(c, (Sums(), Sums()))
                 for w in W.words(part.column("text"), W.SPACED):
                     own_ = trains[w.lo : w.hi]
                     keys, at = np.unique(w.key, return_inverse=True)
@@ -229,8 +236,7 @@ def scored(docs: DataFrame, train: str, order: int = ORDER) -> DataFrame:
                     of_runs.add(*_counted(code[trained]))
                     asked_ = _counted(code[~trained])[0]
                     of_runs.add(asked_, np.zeros(len(asked_), np.int64))
-        for c in list(held):
-            for runs_, sums in enumerate(held.pop(c)):
+            for runs_, sums in enumerate((of_words, of_runs)):
                 keys, n = sums.done()
                 by, cut = buckets(keys, bool(runs_))
                 out = []
@@ -240,12 +246,8 @@ def scored(docs: DataFrame, train: str, order: int = ORDER) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "keys", "n"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for b in batches:
-            for i, *rest in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
-                held.setdefault(i, []).append(rest)
-        for i in list(held):
-            asked = held.pop(i)
+        for i, parts in grouped(batches):
+            asked = [row for b in parts for row in zip(*(b.column(c).to_pylist() for c in range(1, 4)), strict=True)]
             keys = [_unpacked(x) if i >= k else np.frombuffer(x, U) for _, x, _ in asked]
             total, n = _sums(np.concatenate(keys), np.concatenate([np.frombuffer(zlib.decompress(x), "<i8") for *_, x in asked]))
             tokens, distinct = (0, 0) if i >= k else (int(n.sum()), int((n > 0).sum()))
@@ -257,8 +259,8 @@ def scored(docs: DataFrame, train: str, order: int = ORDER) -> DataFrame:
                 names=["bucket", "chunk", "counts", "tokens", "distinct"],
             )
 
-    asked = own.repartition(k, "chunk").mapInArrow(ask, "bucket int, chunk int, keys binary, n binary")
-    answers = stored(asked.repartition(k, "bucket").mapInArrow(answer, "bucket int, chunk int, counts binary, tokens long, distinct long"), "counts", compression="none")
+    asked = own.select("chunk", "train", "text").repartition(k, "chunk").sortWithinPartitions("chunk").mapInArrow(ask, "bucket int, chunk int, keys binary, n binary")
+    answers = stored(asked.repartition(k, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "bucket int, chunk int, counts binary, tokens long, distinct long"), "counts", compression="none")
     n, v = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     ends = own.where("train").count()
     n, v = n + ends, v + (ends > 0)
@@ -273,18 +275,12 @@ def scored(docs: DataFrame, train: str, order: int = ORDER) -> DataFrame:
         return out
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: dict[int, list[pa.RecordBatch]] = {}
-        counts: dict[int, dict[int, bytes]] = {}
-        for b in batches:
-            for c, part in by_chunk(b):
-                said = part.filter(pc.is_valid(part.column("counts")))
-                for i, x in zip(said.column("bucket").to_pylist(), said.column("counts").to_pylist(), strict=True):
-                    counts.setdefault(c, {})[i] = x
-                part = part.filter(pc.is_valid(part.column("text")))
-                if len(part):
-                    texts.setdefault(c, []).append(part)
-        for c in list(texts):
-            parts, said = texts.pop(c), counts.pop(c, {})
+        for _, both in grouped(batches):
+            parts, said = [], {}
+            for part in both:
+                answered = part.filter(pc.is_valid(part.column("counts")))
+                said.update(zip(answered.column("bucket").to_pylist(), answered.column("counts").to_pylist(), strict=True))
+                parts.append(part.filter(pc.is_valid(part.column("text"))))
             of_words, of_runs = Sums(), Sums()
             for part in parts:
                 for w in W.words(part.column("text"), W.SPACED):
@@ -313,7 +309,7 @@ def scored(docs: DataFrame, train: str, order: int = ORDER) -> DataFrame:
     kind = dict(own.dtypes)["doc_id"]
     texts = own.select("chunk", "doc_id", "train", "text", nothing("int", "bucket"), nothing("binary", "counts"))
     said = answers.select("chunk", nothing(kind, "doc_id"), nothing("boolean", "train"), nothing("string", "text"), "bucket", "counts")
-    return texts.unionAll(said).repartition(k, "chunk").mapInArrow(finish, f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return texts.unionAll(said).repartition(k, "chunk").sortWithinPartitions("chunk").mapInArrow(finish, f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:
