@@ -75,6 +75,12 @@ def _counted(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code[first], np.diff(np.append(first, len(code)))
 
 
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    keys = np.concatenate(parts)
+    keys.sort()
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
 class Sums:
     """Keys and their summed counts, merged as they come so that only distinct keys stay."""
 
@@ -202,7 +208,7 @@ def scored(docs: DataFrame, train: str, order: int = ORDER) -> DataFrame:
     spark = docs.sparkSession
     k, own = width(spark), docs.select("doc_id", F.col(train).alias("train"), F.coalesce("text", F.lit("")).alias("text"))
     below = spark.sparkContext.broadcast(low(own.where("train")))
-    own = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(k)).cast("int"))
+    own = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2 * k)).cast("int"))
 
     def buckets(keys: np.ndarray, of_runs: bool) -> tuple[np.ndarray, np.ndarray]:
         """Order of sorted keys by bucket, and where each bucket begins in it."""
@@ -276,34 +282,32 @@ def scored(docs: DataFrame, train: str, order: int = ORDER) -> DataFrame:
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, both in grouped(batches):
-            parts, said = [], {}
+            held, said = [], {}
             for part in both:
                 answered = part.filter(pc.is_valid(part.column("counts")))
                 said.update(zip(answered.column("bucket").to_pylist(), answered.column("counts").to_pylist(), strict=True))
-                parts.append(part.filter(pc.is_valid(part.column("text"))))
-            of_words, of_runs = Sums(), Sums()
-            for part in parts:
+                part = part.filter(pc.is_valid(part.column("text")))
                 for w in W.words(part.column("text"), W.SPACED):
-                    of_words.add(*_counted(w.key))
-                    of_runs.add(*_counted(runs(w, order)))
-            keys, codes = of_words.done()[0], of_runs.done()[0]
+                    rows = part.slice(w.lo, w.hi - w.lo).select(["doc_id", "train"])
+                    own_words, word = np.unique(w.key, return_inverse=True)
+                    own_runs, run = np.unique(runs(w, order), return_inverse=True)
+                    held.append((rows, w.counts(), w.text[:-1] + np.arange(w.hi - w.lo), own_words, word.astype(np.int32), own_runs, run.astype(np.int32)))
+            if not held:
+                continue
+            keys, codes = _distinct([x[3] for x in held]), _distinct([x[5] for x in held])
             known, cost = told(keys, said, False), told(codes, said, True)
-            for part in parts:
-                for w in W.words(part.column("text"), W.SPACED):
-                    rows, size = part.slice(w.lo, w.hi - w.lo), w.counts()
-                    seen = known[np.searchsorted(keys, w.key)]
-                    first = np.cumsum(size) - size
-                    sums = np.concatenate([[0], np.cumsum(seen > 0)])
-                    n_known = sums[first + size] - sums[first] + (ends > 0)
-                    log = np.append(np.log10(seen + 1.0), 0.0)
-                    base = np.where(size > 0, np.add.reduceat(log, first), 0.0) + np.log10(ends + 1.0) - (size + 1) * np.log10(n + v + 1.0)
-                    code, at = np.unique(runs(w, order), return_inverse=True)
-                    each = cost[np.searchsorted(codes, code)].astype(np.float64)[at]
-                    score = np.add.reduceat(each, w.text[:-1] + np.arange(len(size)))
-                    yield pa.RecordBatch.from_arrays(
-                        [rows.column("doc_id"), rows.column("train"), pa.array(size + 1), pa.array(n_known.astype(np.int64)), pa.array(np.full(len(size), n)), pa.array(base), pa.array(score)],
-                        names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                    )
+            for rows, size, begins, own_words, word, own_runs, run in held:
+                seen = known[np.searchsorted(keys, own_words)][word]
+                first = np.cumsum(size) - size
+                sums = np.concatenate([[0], np.cumsum(seen > 0)])
+                n_known = sums[first + size] - sums[first] + (ends > 0)
+                log = np.append(np.log10(seen + 1.0), 0.0)
+                base = np.where(size > 0, np.add.reduceat(log, first), 0.0) + np.log10(ends + 1.0) - (size + 1) * np.log10(n + v + 1.0)
+                score = np.add.reduceat(cost[np.searchsorted(codes, own_runs)].astype(np.float64)[run], begins)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("doc_id"), rows.column("train"), pa.array(size + 1), pa.array(n_known.astype(np.int64)), pa.array(np.full(len(size), n)), pa.array(base), pa.array(score)],
+                    names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
 
     nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
     kind = dict(own.dtypes)["doc_id"]
