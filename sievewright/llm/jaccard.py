@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .graph import components, local_roots
-from .shared import stored, width
+from .shared import modest_batches, stored, width
 
 U = np.uint64
 N, PERCENT, RATIO, BLOCK, DEALS = 4, 85, 1.35, 3000, 2
@@ -261,6 +261,7 @@ def settled(dealt: DataFrame, n: int, percent: int) -> DataFrame:
 def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BLOCK, deals: int = DEALS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
+    modest_batches(docs.sparkSession)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -26,6 +26,13 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def modest_batches(spark: SparkSession) -> SparkSession:
+    """Lets Spark hand texts to Python workers 4 MB at a time instead of 10,000 rows, however long they are; on both sides
+    of the pipe a batch is held whole."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    return spark
+
+
 def width(spark: SparkSession) -> int:
     """Shuffle partitions, the session's own measure of how large the data are."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
