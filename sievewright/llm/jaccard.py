@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .graph import components, local_roots
-from .shared import modest_batches, stored, width
+from .shared import in_arrow, modest_batches, stored, width
 
 U = np.uint64
 N, PERCENT, RATIO, BLOCK, DEALS = 4, 85, 1.35, 3000, 2
@@ -139,7 +139,7 @@ def meet(edges_in: DataFrame) -> DataFrame:
             own = node != root
             yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(root[own])], names=["a", "b"])
 
-    return edges_in.mapInArrow(run, "a long, b long")
+    return in_arrow(edges_in, run, "a long, b long")
 
 
 def clusters(docs: DataFrame, n: int, percent: int, common: np.ndarray | None = None) -> DataFrame:
@@ -176,7 +176,7 @@ def clusters(docs: DataFrame, n: int, percent: int, common: np.ndarray | None =
         if held:
             yield dealt()
 
-    keyed = docs.select("text", *(["root"] if common is not None else [])).mapInArrow(run, "bucket int, pairs binary").repartition(width(docs.sparkSession), "bucket")
+    keyed = in_arrow(docs.select("text", *(["root"] if common is not None else [])), run, "bucket int, pairs binary").repartition(width(docs.sparkSession), "bucket")
     return components(meet(keyed))
 
 
@@ -190,7 +190,7 @@ def common_shingles(docs: DataFrame, n: int, least: int = COMMON) -> np.ndarray:
                 key, count = np.unique(sets(w, n)[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(count)], names=["key", "n"])
 
-    found = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = in_arrow(docs.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     at = found.select(F.shiftright("key", 52 - COMMON_BITS).alias("at"))
     bits = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
     out = np.zeros(1 << (COMMON_BITS - 6), U)
@@ -255,7 +255,7 @@ def settled(dealt: DataFrame, n: int, percent: int) -> DataFrame:
                         held.append((own, comp[w.lo + i], key[bounds[i] : bounds[i + 1]].copy()))
         yield from links()
 
-    return dealt.repartition(width(dealt.sparkSession), "cell").sortWithinPartitions("cell").select("cell", "name", "comp", "text").mapInArrow(run, "a long, b long")
+    return in_arrow(dealt.repartition(width(dealt.sparkSession), "cell").sortWithinPartitions("cell").select("cell", "name", "comp", "text"), run, "a long, b long")
 
 
 def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BLOCK, deals: int = DEALS) -> DataFrame:
@@ -269,7 +269,7 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BLO
                 bounds, _, name = sets(w, n)
                 yield pa.RecordBatch.from_arrays([b.column(0)[w.lo : w.hi], pa.array(np.diff(bounds)), pa.array(name.astype(np.int64))], names=["doc_id", "n_shingles", "name"])
 
-    rows = stored(docs.mapInArrow(named, "doc_id long, n_shingles long, name long"), "names")
+    rows = stored(in_arrow(docs, named, "doc_id long, n_shingles long, name long"), "names")
     met = stored(clusters(docs.where("doc_id is not null"), n, percent), "clusters")
     first = rows.where("n_shingles > 0 and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
     wanted = stored(first.join(met.withColumnRenamed("node", "name"), "name").select("doc_id", "name", "root"), "wanted")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,12 +30,26 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def modest_batches(spark: SparkSession) -> SparkSession:
-    """Lets Spark hand texts to Python workers 4 MB at a time instead of 10,000 rows, however long they are; on both sides
-    of the pipe a batch is held whole."""
+    """Lets Spark hand texts to Python workers 4 MB at a time instead of 10,000 rows, however long they are (on both sides
+    of the pipe a batch is held whole), and read 512 rows at a time, which keeps column buffers small."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     return spark
 
 
+def in_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow whose workers, which Spark keeps for later tasks, give freed memory back when a task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return df.mapInArrow(run, schema)
+
+
 def width(spark: SparkSession) -> int:
     """Shuffle partitions, the session's own measure of how large the data are."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
