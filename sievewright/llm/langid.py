@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_arrow, modest_batches
+
 SAMPLE, LONGEST, SEEN, TEMPER = 4_000, 4, 2, 20
 RUNS = re.compile(r"[^\W\d_]+")
 
@@ -135,7 +137,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return docs.mapInArrow(run, schema)
+    modest_batches(docs.sparkSession)
+    return in_arrow(docs, run, schema)
 
 
 def fold(doc_id: str | Column, parts: int) -> Column:
