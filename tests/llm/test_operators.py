@@ -106,6 +106,24 @@ def test_sharding_is_even_and_keeps_equal_texts(spark, rows):
         assert own == list(range(len(own)))
 
 
+@pytest.mark.parametrize("loose", [400, 10])
+def test_sharding_splits_only_groups_that_fit_no_shard(spark, loose):
+    """A hot group above the quota fills whole shards; with few unlinked bytes at most one group a border is split."""
+    r = np.random.default_rng(7)
+    texts = ["hot " * 10] * 400 + [t for i in range(150) for t in [f"group {i} " + "x" * int(r.integers(5, 60))] * int(r.integers(2, 9))]
+    texts += [f"alone {i} " + "y" * int(r.integers(5, 60)) for i in range(loose)]
+    got = sharding.sharded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards=6).collect()
+    assert sorted(x.doc_id for x in got) == list(range(len(texts)))
+    on, load = {}, [0] * 6
+    for x in got:
+        on.setdefault(texts[x.doc_id], []).append(x.shard)
+        load[x.shard] += x["size"]
+    quota, hot = sum(load) / 6, on["hot " * 10]
+    split = sum(len(set(s)) > 1 for t, s in on.items() if t != texts[0])
+    assert max(load) - min(load) < 200 and split <= (0 if loose == 400 else 5), split
+    assert sorted(map(hot.count, set(hot)))[1:] == [quota // 48] * int(len(hot) // (quota // 48))
+
+
 def test_mix_takes_near_targets(spark, rows):
     got = mixing.digest(spark.createDataFrame(rows, DOCS)).collect()
     assert len(got) == len(rows) and all(r.taken <= 3 * r["size"] for r in got)
