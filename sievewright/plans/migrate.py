@@ -1,4 +1,4 @@
-"""The whole migration: settle what is mechanical, ask a model once a cluster, replay its rules everywhere, verify, ask
+"""The migration: settle what is mechanical, ask a model once a cluster, replay its rules everywhere, verify, ask
 again about what failed. One DAG a stage; every stage's result is a table in the shared folder."""
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from ..operators import relational as R
 from ..operators import rules, syntax
 from ..sources.files import kept
 
-CONTEXT, PAYLOAD, ITEMS, SHOWN, LANES = 6, 2400, 6, 2, 16
+CONTEXT, PAYLOAD, ITEMS, SHOWN, LANES, MEMBERS = 6, 2400, 6, 2, 16, 40
 
 
 @dataclass
@@ -56,10 +56,12 @@ def hunks(findings: DataFrame, files: DataFrame, windowing: bool = True) -> Data
 
 
 def clustered(rows: DataFrame, clustering: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(clusters, members): hunks of one fingerprint; a cluster shows its cheapest members."""
+    """(clusters, members): hunks of one fingerprint, at most MEMBERS of them, so that no answer reaches further; a larger
+    group becomes numbered clusters. A cluster shows its cheapest members."""
     named = T.fingerprint(F.col("shapes"), F.concat("signature", F.array("kind")))
     named = named if clustering else F.concat(F.lit("solo-"), F.substring(F.md5(F.concat_ws("|", "path", F.col("start").cast("string"))), 1, 12))
-    rows = rows.withColumn("fingerprint", named)
+    rows = R.sharded(rows.withColumn("fingerprint", named), "fingerprint", ["path", "start", "end", "site_lines"], MEMBERS)
+    rows = rows.withColumn("fingerprint", F.col("shard")).drop("shard")
     shown = R.first_k(rows.withColumn("cost", T.tokens(F.col("code"))), ["fingerprint"], ["cost", "path", "start"], SHOWN)
     code = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "code"))), lambda x: x["code"]), "\n--\n")
     head = [F.lit("CLUSTER "), F.col("fingerprint"), F.lit("\nSHAPES "), F.array_join(F.array_distinct(F.first("shapes")), " "), F.lit("\nSIGNATURE "), F.array_join(F.first("signature"), " "), F.lit("\nKIND "), F.first("kind")]
@@ -85,8 +87,9 @@ def ask(clusters: DataFrame, model: A.Model, packing: bool = True) -> tuple[Data
 
 
 def replayed(files: DataFrame, members: DataFrame, answers: DataFrame) -> DataFrame:
-    """Every rule on every member of its cluster, verified."""
-    work = members.join(answers.where(F.size("rules") > 0).select("fingerprint", "rules"), "fingerprint")
+    """Every rule on every member of its cluster, verified. An answer that escalates is not applied, whatever rules it has."""
+    told = answers.where((F.size("rules") > 0) & (F.coalesce("escalate", F.lit("")) == ""))
+    work = members.join(told.select("fingerprint", "rules"), "fingerprint")
     return rules.migrated(files, work.select("path", F.struct("start", "fingerprint").alias("batch_ord"), F.col("site_lines").alias("lines"), "rules"))
 
 

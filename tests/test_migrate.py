@@ -78,6 +78,26 @@ def test_no_files_and_scripted_model(spark):
     assert silent.unverified().count() == 1 and silent.warnings.count() == 1
 
 
+def test_large_clusters_are_asked_in_shards_of_forty(spark):
+    rows = [(f"a{i:03}.py", CALL.format(i)) for i in range(90)]
+    found = migrate.migrate(spark.createDataFrame(rows, "path string, text string"), answers.Planner())
+    sizes = {r.fingerprint: r["size"] for r in found.clusters.collect()}
+    assert sorted(sizes.values()) == [10, 40, 40] and sorted(name[-2:] for name in sizes) == ["-0", "-1", "-2"]
+    assert found.answers.count() == 3 and found.unverified().isEmpty()
+    first = next(name for name in sizes if name.endswith("-0"))
+    assert sorted(r.path for r in found.members.where(F.col("fingerprint") == first).collect()) == [r[0] for r in rows[:40]]
+
+
+def test_actions_of_an_answer_that_escalates_are_not_applied(spark):
+    class Unsure:
+        def complete(self, requests):
+            name = F.regexp_extract("text", r"CLUSTER\s+(\S+)", 1)
+            return requests.select("request_id", F.concat(F.lit("CLUSTER "), name, F.lit("\nACTION set_timeout value=5\nESCALATE not sure")).alias("text"))
+
+    out = migrate.migrate(corpus(spark).where("path = 'a1.py'"), Unsure())
+    assert "timeout" not in out.output.first().text and out.unverified().count() == 1
+
+
 def test_files_are_read_byte_for_byte(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "x.py").write_bytes("é = 1\r\n\n".encode())
