@@ -45,7 +45,8 @@ STAGES = [
     ("token-ID output", token_ids),
 ]
 
-#: No stage but decontamination can be said in SQL over whole tables; tests hold run() against a brute-force version.
+#: No stage but decontamination can be said in SQL over whole tables; the operators have tests of their
+#: own, but no test runs run() or a stage function, so rows lost between stages would go unseen.
 ORACLE_SQL = None
 
 
