@@ -72,8 +72,11 @@ def _cell(points: np.ndarray, salt: np.ndarray) -> np.ndarray:
 
 
 def _matrix(dims: int, t: int, columns: int) -> np.ndarray:
-    g = np.random.default_rng([SEED, dims, t]).standard_normal((dims, columns))
-    return g if dims < columns or columns > 8 else np.linalg.qr(g)[0] * np.sqrt(dims / columns)
+    """Short vectors count as padded with zeros up to ``columns`` and are rotated, which keeps all distances."""
+    g = np.random.default_rng([SEED, dims, t]).standard_normal((max(dims, columns) if columns <= 8 else dims, columns))
+    if columns > 8:
+        return g
+    return np.linalg.qr(g)[0] * np.sqrt(dims / columns) if dims >= columns else np.linalg.qr(g)[0][:dims]
 
 
 def _vectors(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:

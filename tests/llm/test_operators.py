@@ -255,3 +255,15 @@ def test_vectors_equal_brute_force(spark):
     found = sum(got[i].n_links for i in range(160))
     assert found >= 0.99 * links.sum() and all(got[i].n_links <= links[i].sum() for i in range(160))
     assert all(got[i].n_links == 0 and got[i].kept for i in (900, 901, 902, 903))
+
+
+def test_short_vectors_are_found(spark):
+    r, rows, want = np.random.default_rng(13), [], {}
+    for d in (2, 3, 4, 6):
+        v = r.standard_normal((250, d)).astype(np.float32).astype(float)
+        rows += [(1000 * d + i, x.tolist(), 0) for i, x in enumerate(v)]
+        f = v / np.linalg.norm(v, axis=1, keepdims=True)
+        want[d] = (f @ f.T >= 0.93).sum() - 250
+    got = vectors.near(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    recall = {d: sum(x.n_links for x in got if x.vec_id // 1000 == d) / want[d] for d in want}
+    assert all(0.97 <= x <= 1 for x in recall.values()), recall
