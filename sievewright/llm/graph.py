@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import discard, stored
 
 
 def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -27,10 +27,10 @@ def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the edges (a, b), root being its component's smallest node.
+    """(node, root), stored: every node of the edges (a, b), root being its component's smallest node.
 
     Each half round is an aggregation and a join by node; a hub's rows stay rows, so a skewed join can split them. Every
-    half round is written to the shared folder. Ends when the edges are stars.
+    half round is written to the shared folder and takes the place of the one before. Ends when the edges are stars.
     """
     big, small = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     edges = stored(edges.where("a != b").select(big, small).distinct(), "edges")
@@ -38,14 +38,17 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "lows")
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = stored(large.distinct(), "large")
+        large = stored(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        discard(edges, low)
         low = stored(large.groupBy("a").agg(F.min("b").alias("m")), "lows")
         hung = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = stored(hung.unionAll(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        discard(large, low)
         now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
         if now == last:
             break
         last = now
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return stars.unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out = stored(stars.unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "components")
+    discard(edges)
+    return out

@@ -2,14 +2,14 @@
 
 A document's set is its distinct word shingles, as 52-bit keys. Documents of equal sets form one class. Two sets of sizes
 a and b that reach the threshold differ in at most d(a, b) elements. Per band of sizes, elements fall by hash into
-more than d parts; a part's sketch has 2**52 / parts bits, each element flips one, and the sketch is held as the XOR of a Zobrist
-word of every set bit. The parts' Hamming distances add up to at most the symmetric difference, so by the pigeonhole
-principle parts agree wherever a pair links. Classes meet on (band, part, sketch) of parts that hold more than a few
-elements; sets with many light parts meet on these too, and on pairs of empty parts. What meets, directly or in a chain, is a cluster; no link leaves a cluster.
-
-A cluster of more than ``block`` classes is first cut finer: its members meet again, only among themselves and over
-narrower bands, and shingles that many of them hold no longer make a part telling. Which shingles count as common decides only
-how much is compared, never what is found: equal parts are equally telling on both sides.
+d + 1 + spare parts; a part's sketch has 2**52 / parts bits, each element flips one, and the sketch is held as the XOR of
+a Zobrist word of every set bit. The parts' Hamming distances add up to at most the symmetric difference, so by the
+pigeonhole principle at least 1 + spare parts agree wherever a pair links. So each class may leave out ``spare`` parts, if
+all choose by one order: it leaves out those whose (band, part, sketch) most classes have. Of the parts a linked pair
+agrees on, the rarest has ``spare`` others before it, and both classes keep it. Empty parts count as the most frequent.
+Classes meet on the parts they keep; passages that many documents share tell nothing and go first. What meets, directly or
+in a chain, is a cluster; no link leaves a cluster. A cluster of more than ``block`` classes is first cut finer: its members
+meet again, only among themselves, over narrower bands and with more parts to leave out.
 
 Clusters are settled exactly, in blocks of at most ``block`` classes: inside a block, sketches of 2048 bits (their Hamming
 distance bounds the symmetric difference from below) and sizes pass pairs on to exact verification of the sets, skipping
@@ -17,8 +17,11 @@ pairs already connected. A cluster of several blocks is dealt into blocks ``deal
 classes outside a cluster's largest component meet all its blocks. So copies and dense groups cost no more than their
 rows; only classes that meet a large cluster without joining its largest component are compared with all of it.
 
+A part that many classes of one flush of a task have is dealt by class name, not by part, so that no task holds all its
+classes; their number is then added up by a plain aggregation.
+
 Defined results: null and empty texts have n_shingles 0 and link with nothing; a null doc_id links with nothing and has
-component null; rows of one id with different texts link what any of them links.
+component null; rows of one id with different texts are documents of their own, that share an id.
 """
 
 from __future__ import annotations
@@ -28,40 +31,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .graph import components, local_roots
-from .shared import in_arrow, modest_batches, stored, width
+from .graph import components
+from .shared import discard, in_arrow, maybe_among, stored, width
 
 U = np.uint64
-N, PERCENT, RATIO, BLOCK, DEALS = 4, 85, 1.35, 3000, 2
-FINE, SLACK, COMMON = 1.12, 1.35, 10
+N, PERCENT, BLOCK, DEALS = 4, 85, 1000, 2
+#: (ratio of a band's sizes, parts to leave out as a share of those that may differ): at first, and for large clusters.
+COARSE, FINE = (1.35, 0.3), (1.12, 1.0)
 SKETCH = 2048
-COMMON_BITS = 24
-
+#: Bits of a packed meeting key that hold the band and how many parts its class may leave out (a lower number is safe).
+BAND_BITS, LEFT_BITS = 8, 12
+FLUSH, HOT = 1 << 18, 64
 
-def bands(most: int, percent: int = PERCENT, ratio: float = RATIO, slack: float = 1.2) -> list[tuple[int, int, int, int, int]]:
-    """(smallest size, largest size of the smaller set, parts, light, spare) up to sets of ``most`` elements.
 
-    Of d + 1 + spare parts at least 1 + spare agree. Parts of at most ``light`` elements say little (one shingle of a
-    common passage will do), so a set with at most ``spare`` light parts leaves them out: one of its heavy parts agrees.
-    ``spare`` is somewhat more than the light parts to be expected at the band's smallest size."""
+def bands(most: int, percent: int, ratio: float, share: float) -> list[tuple[int, int, int, int]]:
+    """(smallest size, largest size of the smaller set, parts, spare) up to sets of ``most`` elements."""
     out, low = [], 1
     while low <= most:
         high = max(low, int(low * ratio))
         differ = (high + high * 100 // percent) * (100 - percent) // (100 + percent)
-        spare, light, parts = 0, 0, 1
-        if differ:
-            light = 2 if low >= 4.8 * (differ + 1) else 1 if low >= 2.5 * (differ + 1) else 0
-            spare = 1
-            for _ in range(8):
-                mean = low / (differ + 1 + spare)
-                share = math.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(light + 1))
-                spare = min(differ + 1, 1 + math.ceil(slack * share * (differ + 1 + spare)))
-            parts = differ + 1 + spare
-        out.append((low, high, parts, light, spare))
+        spare = math.ceil(share * (differ + 1)) if differ else 0
+        out.append((low, high, differ + 1 + spare, spare))
         low = high + 1
     return out
 
@@ -86,80 +80,81 @@ def sets(w: W.Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bounds, key, name
 
 
-def part_keys(size: np.ndarray, bounds: np.ndarray, key: np.ndarray, name: np.ndarray, table: list[tuple[int, int, int, int, int]], percent: int, salt: np.ndarray, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(meeting key, set name) of the given sets in all their bands; only sets of one salt meet. A part that holds
-    nothing but ``common`` shingles counts as light."""
-    out, names = [], []
-    for i, (low, high, parts, light, spare) in enumerate(table):
+def part_keys(size: np.ndarray, bounds: np.ndarray, key: np.ndarray, name: np.ndarray, table: list[tuple[int, int, int, int]], percent: int, salt: np.ndarray) -> np.ndarray:
+    """Rows (meeting key, band and parts to leave out, set name) of the given sets in all their bands; only sets of one
+    salt meet. Empty parts are left out first, in order; those beyond ``spare`` have keys like any other."""
+    out = [np.zeros((0, 3), U)]
+    for i, (low, high, parts, spare) in enumerate(table):
         mine = np.flatnonzero((size >= low) & (size <= high * 100 // percent))
         if not len(mine):
             continue
         n = size[mine]
         row = np.repeat(np.arange(len(mine)), n)
         k = key[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bounds[mine], n)]
-        part = ((k >> U(12)) * U(parts) >> U(40)).astype(np.int64)
-        cell = row * parts + part
+        cell = row * parts + ((k >> U(12)) * U(parts) >> U(40)).astype(np.int64)
         first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-        sketch = np.bitwise_xor.reduceat(W.mix(k ^ U(0xA5A5)), first)
-        tag = W.mix((cell[first] % parts).astype(U) * U(1_000_003) + U(i))
-        heavy = np.diff(np.append(first, len(cell))) > light
-        if common is not None and len(first):
-            at = k >> U(52 - COMMON_BITS)
-            heavy &= np.logical_or.reduceat((common[at >> U(6)] >> (at & U(63))) & U(1) == 0, first)
-        lights = parts - np.bincount(row[first], weights=heavy, minlength=len(mine)).astype(np.int64)
-        told = heavy | (lights > spare)[row[first]] | (parts == 1)
-        out.append(W.mix((sketch + tag) ^ salt[mine[row[first]]])[told])
-        names.append(name[mine[row[first]]][told])
-        empties = parts - np.bincount(row[first], minlength=len(mine))
-        for r in np.flatnonzero((lights > spare) & (empties > spare) & (parts > 1)):
-            own = np.searchsorted(cell[first], [r * parts, (r + 1) * parts])
-            empty = np.setdiff1d(np.arange(parts), cell[first][own[0] : own[1]] % parts).astype(U)
-            a, b = np.triu_indices(len(empty), 1)
-            out.append(W.mix((W.mix(empty[a] * U(65_537) + U(i) + U(1 << 40)) + empty[b]) ^ salt[mine[r]]))
-            names.append(np.full(len(a), name[mine[r]]))
-    if not out:
-        return np.zeros(0, U), np.zeros(0, U)
-    out, names = np.concatenate(out), np.concatenate(names)
-    both = np.unique(np.stack([out, names], 1), axis=0) if len(np.unique(name)) < len(name) else np.stack([out, names], 1)
-    return both[:, 0], both[:, 1]
-
-
-def meet(edges_in: DataFrame) -> DataFrame:
-    """Edges between set names that share a meeting key. edges_in: rows (bucket, pairs of keys and names as binary)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.frombuffer(x, U).reshape(-1, 2) for b in batches for x in b.column("pairs").to_pylist()]
-        if not held:
-            return
-        both = np.concatenate(held)
-        both = both[np.argsort(both[:, 0], kind="stable")]
-        same = np.flatnonzero((both[1:, 0] == both[:-1, 0]) & (both[1:, 1] != both[:-1, 1]))
-        if len(same):
-            node, root = local_roots(both[same, 1].astype(np.int64), both[same + 1, 1].astype(np.int64))
-            own = node != root
-            yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(root[own])], names=["a", "b"])
-
-    return in_arrow(edges_in, run, "a long, b long")
-
-
-def clusters(docs: DataFrame, n: int, percent: int, common: np.ndarray | None = None) -> DataFrame:
-    """(node, root): classes that meet others, by cluster. With ``common`` shingles, docs have a root each and only rows
-    of one root meet."""
-    k = 8 * width(docs.sparkSession)
-    fine = (FINE, SLACK) if common is not None else ()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch, cell = np.bitwise_xor.reduceat(W.mix(k ^ U(0xA5A5)), first), cell[first]
+        empty = parts - np.bincount(cell // parts, minlength=len(mine))
+        for r in np.flatnonzero(empty > spare):
+            more = np.setdiff1d(np.arange(parts), cell[cell // parts == r] % parts)[spare:]
+            cell, sketch = np.append(cell, r * parts + more), np.append(sketch, np.zeros(len(more), U))
+        row = cell // parts
+        tag = W.mix((cell % parts).astype(U) * U(1_000_003) + U(i))
+        left = np.minimum(np.maximum(spare - empty, 0), (1 << LEFT_BITS) - 1)[row].astype(U)
+        out.append(np.stack([W.mix((sketch + tag) ^ salt[mine[row]]), U(i << LEFT_BITS) | left, name[mine[row]]], 1))
+    return np.concatenate(out)
+
+
+def _dealt(rows: np.ndarray, k: int) -> pa.RecordBatch:
+    """(bucket, pairs, hot): part_keys packed by bucket, at 16 bytes each. Where HOT or more rows share a key, they go by
+    name, at 24 bytes each, and one of them stands for all in the key's own bucket."""
+    low = U((1 << BAND_BITS + LEFT_BITS) - 1)
+    rows = rows[np.argsort(rows[:, 0], kind="stable")]
+    head = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+    many = np.diff(np.append(head, len(rows)))
+    hot = np.repeat(many >= HOT, many)
+    plain = ~hot
+    plain[head] = True
+    pairs = np.stack([rows[plain, 0] & ~low | rows[plain, 1], rows[plain, 2]], 1)
+    columns = []
+    for bucket, part in ((rows[plain, 0] % U(k), pairs), (W.mix(rows[hot, 2]) % U(k), rows[hot])):
+        by = np.argsort(bucket, kind="stable")
+        cut = np.searchsorted(bucket[by], np.arange(k + 1))
+        columns.append([part[by[cut[i] : cut[i + 1]]].tobytes() for i in range(k)])
+    some = [i for i in range(k) if columns[0][i] or columns[1][i]]
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array([c[i] for i in some], pa.binary()) for c in columns)], names=["bucket", "pairs", "hot"])
+
+
+def _met(bucket: int, pairs: np.ndarray, hot: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """(key, name, band, left, n): keys that at least two sets of a bucket have, and all hot ones, those with n = 0."""
+
+    def told(at: np.ndarray, bucket: np.ndarray, name: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
+        by = np.lexsort((name, at))
+        at, bucket, name = at[by], bucket[by], name[by]
+        own = at >> U(LEFT_BITS)
+        new = np.append(True, (own[1:] != own[:-1]) | (name[1:] != name[:-1]) | (bucket[1:] != bucket[:-1]))
+        at, bucket, name, own = at[new], bucket[new], name[new], own[new]
+        many = np.unique(own, return_counts=True)[1]
+        n = np.repeat(many, many)
+        some = n >= least
+        columns = [W.mix(own + W.mix(bucket)), name, own & U((1 << BAND_BITS) - 1), at & U((1 << LEFT_BITS) - 1), n if least else np.zeros(len(n), np.int64)]
+        kinds = [np.int64, np.int64, np.int16, np.int16, np.int64]
+        yield pa.RecordBatch.from_arrays([pa.array(c[some].astype(t)) for c, t in zip(columns, kinds, strict=True)], names=["key", "name", "band", "left", "n"])
+
+    low = U((1 << BAND_BITS + LEFT_BITS) - 1)
+    if len(pairs):
+        yield from told(pairs[:, 0], np.full(len(pairs), bucket, U), pairs[:, 1], 2)
+    if len(hot):
+        yield from told(hot[:, 0] & ~low | hot[:, 1], hot[:, 0] % U(k), hot[:, 2], 0)
+
+
+def meetings(docs: DataFrame, n: int, percent: int, ratio: float, share: float) -> DataFrame:
+    """_met of all documents; with a root each, only rows of one root meet."""
+    spark = docs.sparkSession
+    k, rooted = 8 * width(spark), "root" in docs.columns
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, many = [], 0
-
-        def dealt() -> pa.RecordBatch:
-            both = np.concatenate(held)
-            held.clear()
-            bucket = (both[:, 0] % U(k)).astype(np.int32)
-            by = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[by], np.arange(k + 1))
-            some = np.flatnonzero(np.diff(cut))
-            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([both[by[cut[i] : cut[i + 1]]].tobytes() for i in some], pa.binary())], names=["bucket", "pairs"])
-
         for b in batches:
             for w in W.words(b.column(0), W.SPACED):
                 bounds, key, name = sets(w, n)
@@ -167,36 +162,45 @@ def clusters(docs: DataFrame, n: int, percent: int, common: np.ndarray | None =
                 size = np.zeros(len(name), np.int64)
                 size[once] = np.diff(bounds)[once]  # of equal sets one stands for all
                 if size.max(initial=0):
-                    salt = W.mix(b.column(1).to_numpy()[w.lo : w.hi].astype(U)) if common is not None else np.zeros(len(name), U)
-                    held.append(np.stack(part_keys(size, bounds[:-1], key, name, bands(int(size.max()), percent, *fine), percent, salt, common), 1))
+                    salt = W.mix(b.column(1).to_numpy()[w.lo : w.hi].astype(U)) if rooted else np.zeros(len(name), U)
+                    held.append(part_keys(size, bounds[:-1], key, name, bands(int(size.max()), percent, ratio, share), percent, salt))
                     many += len(held[-1])
-                if many > 1 << 18:
-                    yield dealt()
-                    many = 0
+                if many > FLUSH:
+                    yield _dealt(np.concatenate(held), k)
+                    held, many = [], 0
         if held:
-            yield dealt()
-
-    keyed = in_arrow(docs.select("text", *(["root"] if common is not None else [])), run, "bucket int, pairs binary").repartition(width(docs.sparkSession), "bucket")
-    return components(meet(keyed))
-
-
-def common_shingles(docs: DataFrame, n: int, least: int = COMMON) -> np.ndarray:
-    """A bitmap of fixed size, 2**24 bits, over shingle keys: set for those that at least so many rows hold. Only its
-    words, at most 262,144, come to the driver."""
+            yield _dealt(np.concatenate(held), k)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, ([], [])
+        whole = lambda: (np.frombuffer(b"".join(held[0]), U).reshape(-1, 2), np.frombuffer(b"".join(held[1]), U).reshape(-1, 3))
         for b in batches:
-            for w in W.words(b.column(0), W.SPACED):
-                key, count = np.unique(sets(w, n)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(count)], names=["key", "n"])
-
-    found = in_arrow(docs.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    at = found.select(F.shiftright("key", 52 - COMMON_BITS).alias("at"))
-    bits = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
-    out = np.zeros(1 << (COMMON_BITS - 6), U)
-    got = bits.toPandas()
-    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(U)
-    return out
+            for bucket, *parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bucket != last and last is not None:
+                    yield from _met(last, *whole(), k)
+                    held = ([], [])
+                last = bucket
+                for x, part in zip(held, parts, strict=True):
+                    x.append(part)
+        if last is not None:
+            yield from _met(last, *whole(), k)
+
+    keyed = in_arrow(docs.select("text", *(["root"] if rooted else [])), emit, "bucket int, pairs binary, hot binary")
+    return in_arrow(keyed.repartition(width(spark), "bucket").sortWithinPartitions("bucket"), meet, "key long, name long, band short, left short, n long")
+
+
+def clusters(docs: DataFrame, n: int, percent: int, ratio: float, share: float) -> DataFrame:
+    """(node, root), stored: classes that meet others, by cluster."""
+    met = stored(meetings(docs, n, percent, ratio, share), "met")
+    many = stored(met.where("n = 0").groupBy("key").agg((F.count(F.lit(1)) + (1 << 40)).alias("many")), "hot")
+    weighed = met if many.isEmpty() else met.join(many, "key", "left").withColumn("n", F.coalesce("many", "n"))
+    once = weighed.repartition(width(docs.sparkSession), "name").groupBy("name", "band", "key").agg(F.max("left").alias("left"), F.max("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("name", "band").orderBy(F.desc("n"), "key"))
+    kept = stored(once.withColumn("rank", rank).where("rank > left").select("key", "name"), "kept")
+    first = kept.groupBy("key").agg(F.min("name").alias("root"))
+    found = components(kept.join(first, "key").select(F.col("name").alias("a"), F.col("root").alias("b")))
+    discard(met, many, kept)
+    return found
 
 
 def _settle(size: np.ndarray, at: np.ndarray, key: np.ndarray, percent: int, old: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -258,48 +262,62 @@ def settled(dealt: DataFrame, n: int, percent: int) -> DataFrame:
     return in_arrow(dealt.repartition(width(dealt.sparkSession), "cell").sortWithinPartitions("cell").select("cell", "name", "comp", "text"), run, "a long, b long")
 
 
-def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BLOCK, deals: int = DEALS) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+def linked(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BLOCK, deals: int = DEALS) -> tuple[DataFrame, DataFrame]:
+    """Of docs (doc_id, text): (rows, classes), stored. rows: doc_id, txt (hash of the text), n_shingles, name (of the set);
+    classes: name, doc_id (smallest), comp (a name for its component). A null id or empty set has no class."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    modest_batches(docs.sparkSession)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for w in W.words(b.column(1), W.SPACED):
                 bounds, _, name = sets(w, n)
-                yield pa.RecordBatch.from_arrays([b.column(0)[w.lo : w.hi], pa.array(np.diff(bounds)), pa.array(name.astype(np.int64))], names=["doc_id", "n_shingles", "name"])
+                own = [c[w.lo : w.hi] for c in (b.column(0), b.column(2))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(bounds)), pa.array(name.astype(np.int64))], names=["doc_id", "txt", "n_shingles", "name"])
 
-    rows = stored(in_arrow(docs, named, "doc_id long, n_shingles long, name long"), "names")
-    met = stored(clusters(docs.where("doc_id is not null"), n, percent), "clusters")
-    first = rows.where("n_shingles > 0 and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
+    rows = stored(in_arrow(docs.withColumn("txt", F.xxhash64("text")), named, "doc_id long, txt long, n_shingles long, name long"), "names")
+    met = clusters(docs.where("doc_id is not null"), n, percent, *COARSE)
+    first = stored(rows.where("n_shingles > 0 and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id")), "first")
     wanted = stored(first.join(met.withColumnRenamed("node", "name"), "name").select("doc_id", "name", "root"), "wanted")
 
-    members = docs.join(wanted, "doc_id").select("name", "root", "text")
-    members = _parted(members, met, block, "members")
+    some = maybe_among(docs, "doc_id", wanted).where("_maybe").drop("_maybe")
+    members = _parted(some.join(wanted, "doc_id").select("name", "root", "text"), met, block, "members")
+    texts = [members]
     large = members.where("parts > 1")
     if not large.isEmpty():
-        finer = stored(clusters(large, n, percent, common_shingles(large, n)), "finer")
-        finer_members = large.select("name", "text").join(finer.withColumnRenamed("node", "name"), "name")
-        finer_members = _parted(finer_members, finer, block, "refined")
-        members = members.where("parts = 1").unionByName(finer_members.where("parts = 1"))
-        large = finer_members.where("parts > 1")
+        finer = clusters(large, n, percent, *FINE)
+        refined = _parted(large.select("name", "text").join(finer.withColumnRenamed("node", "name"), "name"), finer, block, "refined")
+        members, large = members.where("parts = 1").unionByName(refined.where("parts = 1")), refined.where("parts > 1")
+        texts.append(refined)
+        discard(finer)
     deal = lambda seed: F.xxhash64("root", F.pmod(F.xxhash64("name", F.lit(seed)), F.col("parts")))
     links = stored(settled(members.where("parts = 1").select(F.col("root").alias("cell"), "name", F.col("name").alias("comp"), "text"), n, percent), "links")
     if not large.isEmpty():
         for seed in range(deals):
             known = components(links)
             now = large.join(known.withColumnRenamed("node", "name").withColumnRenamed("root", "comp"), "name", "left").withColumn("comp", F.coalesce("comp", "name"))
-            links = stored(links.unionAll(settled(now.withColumn("cell", deal(seed)), n, percent)), "links")
-        links = stored(links.unionAll(_stragglers(large, links, n, percent, block)), "links")
-    found = stored(components(links), "found") if not links.isEmpty() else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    # a class's documents, and the classes of a component, meet in two joins by name; a null id or empty set has no name
+            links = _more(links, settled(now.withColumn("cell", deal(seed)), n, percent), known)
+        links = _stragglers(large, links, n, percent, block)
+    found = components(links)
+    classes = stored(first.join(found.withColumnRenamed("node", "name"), "name", "left").select("name", "doc_id", F.coalesce("root", "name").alias("comp")), "classes")
+    discard(met, first, wanted, links, found, *texts)
+    return rows, classes
+
+
+def _more(links: DataFrame, new: DataFrame, *used: DataFrame) -> DataFrame:
+    both = stored(links.unionAll(new), "links")
+    discard(links, *used)
+    return both
+
+
+def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BLOCK, deals: int = DEALS) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+    rows, classes = linked(docs, n, percent, block, deals)
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    least = first.join(found.withColumnRenamed("node", "name"), "name", "left").select("name", "doc_id", F.coalesce("root", "name").alias("comp"))
-    least = stored(least, "least")
-    top = stored(least.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "tops")
-    by_name = stored(least.join(top, "comp").select("name", "component_id"), "components")
-    out = rows.where(~alone).join(by_name, "name")
-    return out.select("doc_id", "n_shingles", "component_id").unionAll(rows.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    top = classes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    out = rows.where(~alone).join(classes.join(top, "comp").select("name", "component_id"), "name")
+    out = stored(out.select("doc_id", "n_shingles", "component_id").unionAll(rows.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))), "jaccard")
+    discard(rows, classes)
+    return out
 
 
 def _parted(members: DataFrame, met: DataFrame, block: int, name: str) -> DataFrame:
@@ -315,12 +333,13 @@ def _large(met: DataFrame, block: int) -> DataFrame:
 
 
 def _stragglers(large: DataFrame, links: DataFrame, n: int, percent: int, block: int) -> DataFrame:
-    """Links of classes outside their cluster's largest component: they meet every block of the cluster."""
-    known = components(links).withColumnRenamed("node", "name").withColumnRenamed("root", "comp")
-    told = stored(large.select("root", "name").distinct().join(known, "name", "left").withColumn("comp", F.coalesce("comp", "name")), "told")
-    sizes = told.groupBy("root", "comp").agg(F.count(F.lit(1)).alias("n"))
+    """The links, with those of classes outside their cluster's largest component: they meet every block of the cluster."""
+    known = components(links)
+    comp = known.select(F.col("node").alias("name"), F.col("root").alias("comp"))
+    all_ = stored(large.select("root", "name").distinct().join(comp, "name", "left").withColumn("comp", F.coalesce("comp", "name")), "told")
+    sizes = all_.groupBy("root", "comp").agg(F.count(F.lit(1)).alias("n"))
     main = stored(sizes.groupBy("root").agg(F.max(F.struct("n", "comp")).alias("m")).select("root", F.col("m.comp").alias("main")), "main")
-    told = stored(told.join(main, "root").withColumn("out", F.col("comp") != F.col("main")), "out")
+    told = stored(all_.join(main, "root").withColumn("out", F.col("comp") != F.col("main")), "out")
     few = stored(told.where("out").groupBy("root").agg(F.count(F.lit(1)).alias("n_out")), "few")
     now = large.join(told.drop("root"), "name").join(few, "root")
     lots = F.greatest(F.lit(1), F.ceil(F.col("n_out") / block)).cast("int")
@@ -331,14 +350,26 @@ def _stragglers(large: DataFrame, links: DataFrame, n: int, percent: int, block:
     whole = pairs.select("root", "name", "comp", "text", "p", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("l"))
     own = pairs.where("out").select("root", "name", "comp", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), "l")
     both = whole.unionByName(own).withColumn("cell", F.xxhash64("root", "p", "l"))
-    return settled(both, n, percent)
+    return _more(links, settled(both, n, percent), known, all_, main, told, few)
 
 
 def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, with their own columns, that stand first in their component; of rows with one id, one."""
-    found = joined(docs, n, percent).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.dropDuplicates(["doc_id"]).join(stored(found, "kept"), "doc_id", "left_semi")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row, with its own columns, of each component: of smallest doc_id, then of smallest set name and text hash. Every
+    row with a null doc_id stays, as do empty texts; of rows equal in doc_id and text one stays. Only rows whose id may
+    be among those that go, or are repeated, are shuffled."""
+    rows, classes = linked(docs, n, percent)
+    each = rows.where("doc_id is not null").groupBy("doc_id", "txt", "name").agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("n_shingles"))
+    each = stored(each.join(classes.select("name", "comp"), "name", "left"), "each")
+    one = each.where("n_shingles > 0").groupBy("comp").agg(F.min(F.struct("doc_id", "name", "txt")).alias("one")).select("comp", "one.doc_id", "one.txt", F.lit(True).alias("stays"))
+    told = each.join(one, ["comp", "doc_id", "txt"], "left").withColumn("stays", F.coalesce("stays", F.col("n_shingles") == 0))
+    odd = stored(told.where("n > 1 or not stays").select("doc_id", "txt", "stays"), "odd")
+    discard(rows, classes, each)
+    names = docs.columns
+    marked = maybe_among(docs, "doc_id", odd)
+    own = F.struct(*(F.col(c) for c in names))
+    rest = marked.where("_maybe").groupBy(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_txt")).agg(F.min_by(own, F.xxhash64(*names)).alias("_row"))
+    goes = odd.where("not stays").select(F.col("doc_id").alias("_id"), F.col("txt").alias("_txt"))
+    return marked.where("not _maybe").select(*names).unionByName(rest.join(goes, ["_id", "_txt"], "left_anti").select("_row.*"))
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

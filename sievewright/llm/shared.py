@@ -26,7 +26,28 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     costs at most a re-read."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``stored`` that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def maybe_among(rows: DataFrame, key: str, wanted: DataFrame, bits: int = 24) -> DataFrame:
+    """Adds ``_maybe``: false only where no row of wanted has this key; null keys are never among them. Rows that are false
+    need no join, so their texts need no shuffle. What is broadcast is a bitmap of 2**bits bits, as at most 2**bits / 64
+    rows of 64 bits, however many keys are wanted; as it fills, fewer rows are spared."""
+    at, bit = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(1 << bits)), "shiftleft(1L, cast(_at & 63 as int))"
+    mask = wanted.select(at.alias("_at")).groupBy(F.shiftright("_at", 6).alias("_word")).agg(F.bit_or(F.expr(bit)).alias("_bits"))
+    found = rows.withColumn("_at", at).join(F.broadcast(mask), F.shiftright("_at", 6) == F.col("_word"), "left")
+    maybe = F.coalesce((F.col("_bits").bitwiseAND(F.expr(bit)) != 0) & F.col(key).isNotNull(), F.lit(False))
+    return found.withColumn("_maybe", maybe).select(*rows.columns, "_maybe")
 
 
 def modest_batches(spark: SparkSession) -> SparkSession:
@@ -38,7 +59,9 @@ def modest_batches(spark: SparkSession) -> SparkSession:
 
 
 def in_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow whose workers, which Spark keeps for later tasks, give freed memory back when a task ends."""
+    """mapInArrow with modest batches, whose workers, which Spark keeps for later tasks, give freed memory back when a task
+    ends."""
+    modest_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(batches)
