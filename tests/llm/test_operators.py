@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
-from sievewright.llm import chat, decontaminate, jaccard, langid, lm, mixing, sharding, tokenids, urls, vectors
+from sievewright.llm import chat, decontaminate, graph, jaccard, langid, lm, mixing, sharding, tokenids, urls, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, hits string, score string"
 rng = np.random.default_rng(5)
@@ -68,6 +68,20 @@ def test_jaccard_with_a_common_passage_equals_brute_force(spark):
     assert sorted(map(tuple, got)) == [(i, len(x), comp[i]) for i, x in enumerate(sets)]
 
 
+@pytest.mark.parametrize("local", [1 << 20, 3])
+def test_components_in_one_task_or_by_rounds(spark, monkeypatch, local):
+    monkeypatch.setattr(graph, "LOCAL", local)
+    r = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in r.integers(0, 200, (150, 2))] + [(900 + i, 901 + i) for i in range(9)] + [(5, 5)]
+    root = list(range(1000))
+    for _ in range(60):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    nodes = {x for a, b in edges if a != b for x in (a, b)}
+    got = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == sorted((x, root[x]) for x in nodes)
+
+
 def test_empty_tables_give_no_rows(spark):
     none = spark.createDataFrame([], DOCS)
     for df in (jaccard.joined(none), langid.digest(none), tokenids.read(tokenids.written(none, "word_bpe_49k.json")), mixing.digest(none), sharding.sharded(none)):
