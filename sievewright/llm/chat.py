@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import width
+from .shared import in_arrow, width
 
 #: Strings that mark turns here or in common chat templates.
 CONTROLS = ["<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
@@ -99,7 +99,7 @@ def packs(rows: DataFrame, most: int = MOST, n: int | None = None) -> DataFrame:
         if own.columns[-1]:
             yield own.batch()
 
-    return dealt.select("conv_id", "turns").mapInArrow(run, PACKS)
+    return in_arrow(dealt.select("conv_id", "turns"), run, PACKS)
 
 
 def read(packed: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def read(packed: DataFrame) -> DataFrame:
                     out.append((conv_id, len(turns), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], names=names)
 
-    return packed.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return in_arrow(packed, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op7_chat_format(spark, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .shared import in_arrow
 
 WINDOW, BLOCK_WORDS = 10, 400_000
 HITS = "n_words long, hits array<long>, items array<string>"
@@ -109,7 +110,7 @@ def _counts(docs: DataFrame, block: Block) -> np.ndarray:
 
     out = np.zeros(len(block.vocabulary), np.int64)
     if len(out):
-        rows = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        rows = in_arrow(docs.select("text"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
         for word, n in rows.collect():  # at most the block's words
             out[word] = n
     vocabulary.unpersist()
@@ -141,7 +142,7 @@ def _match(docs: DataFrame, block: Block) -> DataFrame:
             new = {"n_words": pa.array(count), "hits": pa.array(hits, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in names], names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:

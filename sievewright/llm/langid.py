@@ -1,7 +1,7 @@
 """Language identification by word-first backoff.
 
-Training (on about ``sample`` labelled documents, those of smallest xxhash64(doc_id), a documented bound) counts, per
-language, words and character n-grams of 1 to ``longest`` characters inside padded words. A word seen ``seen`` times or
+Training (on about ``sample`` different labelled documents, a documented bound, dealt evenly over the languages: of each,
+those of smallest xxhash64(doc_id, text)) counts, per language, words and character n-grams of 1 to ``longest`` characters inside padded words. A word seen ``seen`` times or
 more scores by its smoothed log frequency in each language. Any other word is covered by character n-grams, longest
 known ones first, falling back to shorter ones where a longer one was not seen. A document's score of a language is the
 sum over all words of its whole text; the prediction is the best language (ties: first in code point order), the
@@ -14,19 +14,20 @@ Rows keep their other columns; repeated rows are judged alike.
 from __future__ import annotations
 
 import math
-import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import in_arrow, modest_batches
+from .shared import in_arrow
 
 SAMPLE, LONGEST, SEEN, TEMPER = 4_000, 4, 2, 20
-RUNS = re.compile(r"[^\W\d_]+")
+RUNS = regex.compile(r"\p{L}+")
 
 
 class Model:
@@ -91,26 +92,26 @@ class Cache(dict):
 
 
 def sampled(docs: DataFrame, chosen: Column, sample: int) -> DataFrame:
-    """About ``sample`` labelled documents: those whose hashed id lies below the share that keeps so many."""
-    labelled = docs.where(chosen & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = labelled.count()
-    share = min(1.0, sample / max(1, n))
-    hashed = F.xxhash64(F.col("doc_id").cast("string"))
-    under = labelled if share == 1 else labelled.where(hashed < F.lit(int(-(2**63) + share * 2**64)))
-    return under.select("lang", "text")
+    """About ``sample`` different labelled documents (lang, text), as many of each language as it has and its part of the
+    sample allows: those whose hash lies below the share of its rows that keeps so many."""
+    labelled = docs.where(chosen & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("hash"))
+    n = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = n.select("lang", (sample / max(1, n.count()) / F.col("n")).alias("share"))
+    below = (F.col("hash").cast("double") + 2.0**63) / 2.0**64 < F.col("share")
+    return labelled.join(share, "lang").where(below).select("lang", "text").distinct()
 
 
 def train(docs: DataFrame, chosen: Column, sample: int = SAMPLE) -> Model:
     return Model((lang, text) for lang, text in sampled(docs, chosen, sample).toLocalIterator())
 
 
-_caches: dict[int, Cache] = {}
+_caches: dict[str, Cache] = {}
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    token = id(shared)
+    token = uuid.uuid4().hex  # workers outlive a model, so its cache goes by a name no other has
     docs = docs.drop("lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +138,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    modest_batches(docs.sparkSession)
     return in_arrow(docs, run, schema)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .langid import fold
-from .shared import stored, width
+from .shared import in_arrow, stored, width
 
 U = np.uint64
 #: Context bytes of the model, 3 to 7.
@@ -185,7 +185,7 @@ def low(docs: DataFrame) -> list[Level]:
         if len(keys):
             yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["keys", "n"])
 
-    rows = docs.select("text").mapInArrow(collect, "part int, keys binary, n binary").repartition(PARTS, "part").mapInArrow(reduce, "keys binary, n binary").collect()
+    rows = in_arrow(in_arrow(docs.select("text"), collect, "part int, keys binary, n binary").repartition(PARTS, "part"), reduce, "keys binary, n binary").collect()
     total = Sums()
     for k, n in rows:
         total.add(np.frombuffer(k, U), np.frombuffer(n, np.int64))
@@ -265,8 +265,8 @@ def scored(docs: DataFrame, train: str, order: int = ORDER) -> DataFrame:
                 names=["bucket", "chunk", "counts", "tokens", "distinct"],
             )
 
-    asked = own.select("chunk", "train", "text").repartition(k, "chunk").sortWithinPartitions("chunk").mapInArrow(ask, "bucket int, chunk int, keys binary, n binary")
-    answers = stored(asked.repartition(k, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "bucket int, chunk int, counts binary, tokens long, distinct long"), "counts", compression="none")
+    asked = in_arrow(own.select("chunk", "train", "text").repartition(k, "chunk").sortWithinPartitions("chunk"), ask, "bucket int, chunk int, keys binary, n binary")
+    answers = stored(in_arrow(asked.repartition(k, "bucket").sortWithinPartitions("bucket"), answer, "bucket int, chunk int, counts binary, tokens long, distinct long"), "counts", compression="none")
     n, v = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     ends = own.where("train").count()
     n, v = n + ends, v + (ends > 0)
@@ -313,7 +313,7 @@ def scored(docs: DataFrame, train: str, order: int = ORDER) -> DataFrame:
     kind = dict(own.dtypes)["doc_id"]
     texts = own.select("chunk", "doc_id", "train", "text", nothing("int", "bucket"), nothing("binary", "counts"))
     said = answers.select("chunk", nothing(kind, "doc_id"), nothing("boolean", "train"), nothing("string", "text"), "bucket", "counts")
-    return texts.unionAll(said).repartition(k, "chunk").sortWithinPartitions("chunk").mapInArrow(finish, f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return in_arrow(texts.unionAll(said).repartition(k, "chunk").sortWithinPartitions("chunk"), finish, f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import running, stored
+from .shared import in_arrow, running, stored, width
 
 BLOCK, SLOTS, MOST, WEIGHTS, SEED = 64, 2048, 3, (5, 2, 1), 20_26
 
@@ -65,6 +65,11 @@ def permuted(k: np.ndarray, n: int, key: int) -> np.ndarray:
             return x.astype(np.int64)
 
 
+def _key() -> Column:
+    """Rows of one key are equal in id, text and source: any of them may stand for another."""
+    return F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "text")), F.col("source").isNull(), F.coalesce(F.col("source").cast("string"), F.lit("")))
+
+
 class Plan:
     """Per source, in order: size, target, blocks, blocks to take."""
 
@@ -85,8 +90,7 @@ def planned(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, weights=WEI
     """(rows, draws): rows has doc_id, key, size, src, ord, source_size, target and first (words of the source before);
     draws has shard, slot, src, block, round."""
     spark = docs.sparkSession
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
-    narrow = stored(docs.select("doc_id", "source", n_words().alias("size"), key.alias("key")), "sizes")
+    narrow = stored(docs.select("doc_id", "source", n_words().alias("size"), _key().alias("key")), "sizes")
     totals = narrow.groupBy("source").agg(F.sum("size").alias("n")).collect()
     plan = Plan([r.source for r in totals], [r.n for r in totals], weights, block, most)
     table = spark.createDataFrame([(i, *x) for i, x in enumerate(zip(plan.names, plan.sizes, plan.targets, strict=True))], "src int, name string, source_size long, target double")
@@ -131,7 +135,8 @@ def planned(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, weights=WEI
                     at[mine] = permuted(k[mine] % blocks[s], int(blocks[s]), seed + 131 * int(s) + 7 * int(e))
             yield pd.DataFrame({"shard": b["shard"].to_numpy()[row], "slot": b["at"].to_numpy()[row] + step, "src": src.astype(np.int32), "block": at, "round": (k // blocks[src]).astype(np.int32)})
 
-    draws = running(drawn, ["src"], [F.col("shard")], F.col("n")).mapInPandas(place, "shard long, slot long, src int, block long, round int")
+    # a row here is many slots there, so rows are dealt by number, not by size
+    draws = running(drawn, ["src"], [F.col("shard")], F.col("n")).repartition(width(spark), "shard", "src").mapInPandas(place, "shard long, slot long, src int, block long, round int")
     return rows, draws
 
 
@@ -159,8 +164,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     plan = pieces(rows, draws).groupBy("src", "ord").agg(F.array_sort(F.collect_list(F.struct("from", "n", "times"))).alias("_plan"))
     twin = lambda c: F.row_number().over(Window.partitionBy("_key").orderBy(c))
     plan = rows.join(plan, ["src", "ord"]).select(F.col("key").alias("_key"), "src", "ord", "size", "_plan").withColumn("_twin", twin("ord"))
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
-    whole = docs.withColumn("_key", key).withColumn("_twin", twin(F.coalesce("source", F.lit(""))))
+    whole = docs.withColumn("_key", _key()).withColumn("_twin", twin(F.lit(0)))
     joined = whole.join(plan.select("_key", "_twin", "_plan", F.col("size").alias("_size")), ["_key", "_twin"]).select(*names, "_plan", "_size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +199,7 @@ def mixed(docs: DataFrame) -> DataFrame:
                     new["n_chars"] = pa.array([len(t) for t in texts]).cast(b.schema.field("n_chars").type)
                 yield pa.RecordBatch.from_arrays([new.get(c, out.column(c)) for c in names], names=names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return in_arrow(joined, run, docs.schema)
 
 
 def op5_source_mix(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored, width
+from .shared import in_arrow, stored, width
 from .words import column
 
 U = np.uint64
@@ -195,8 +195,7 @@ def written(docs: DataFrame, vocabulary: str, end: int = 1, chunk: int = CHUNK,
             yield row()
 
     dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n or width(docs.sparkSession), "doc_id", F.xxhash64("text"))
-    rows = dealt.sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARDS)
-    return stored(rows, "simple8b", compression="none")
+    return stored(in_arrow(dealt.sortWithinPartitions("doc_id", "text"), run, SHARDS), "simple8b", compression="none")
 
 
 def read(shards: DataFrame) -> DataFrame:
@@ -214,9 +213,8 @@ def read(shards: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(ids[4 * (t - s) : 4 * t]) for s, t in zip(sizes, stop.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(first + stop - sizes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    rows = shards.join(F.broadcast(offset), "shard") if width(shards.sparkSession) <= 200_000 else shards.join(offset, "shard")
-    rows = rows.select((F.col("first") + F.col("before")).alias("first"), "doc_id", "n_tokens", "table", "payload")
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = shards.join(offset, "shard").select((F.col("first") + F.col("before")).alias("first"), "doc_id", "n_tokens", "table", "payload")
+    return in_arrow(rows, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op2_token_ids(spark, sf_dir: str) -> DataFrame:

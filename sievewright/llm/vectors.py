@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import stored, width
+from .shared import in_arrow, stored, width
 from .words import mix
 
 U = np.uint64
@@ -136,8 +136,8 @@ def pairs(classes: DataFrame, tables: int, probes: int, step: float, hamming: in
                 if len(rest):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rest, cid[i])), pa.array(np.maximum(rest, cid[i]))], names=["a", "b"])
 
-    entries = classes.select("cid", F.col("label").cast("long"), "emb").mapInArrow(enter, "cell long, cid long, own boolean, sketch binary")
-    return entries.repartition(n, "cell").mapInArrow(meet, "a long, b long").distinct()
+    entries = in_arrow(classes.select("cid", F.xxhash64(F.col("label").cast("string")).alias("label"), "emb"), enter, "cell long, cid long, own boolean, sketch binary")
+    return in_arrow(entries.repartition(n, "cell"), meet, "a long, b long").distinct()
 
 
 def verified(pairs_: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
@@ -154,7 +154,7 @@ def verified(pairs_: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
             b = b.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays([b.column(c) for c in ("a", "b", "na", "nb")], names=["a", "b", "na", "nb"])
 
-    return pairs_.join(x, "a").join(y, "b").select("a", "b", "xa", "xb", "na", "nb").mapInArrow(run, "a long, b long, na long, nb long")
+    return in_arrow(pairs_.join(x, "a").join(y, "b").select("a", "b", "xa", "xb", "na", "nb"), run, "a long, b long, na long, nb long")
 
 
 def near(rows: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, step: float = STEP, hamming: int = HAMMING) -> DataFrame:

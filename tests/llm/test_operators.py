@@ -1,10 +1,12 @@
 """Small fixtures with nulls, ties, empty and clashing columns, against brute force."""
 
+import itertools
 import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from sievewright.llm import chat, decontaminate, graph, jaccard, langid, lm, mixing, sharding, tokenids, urls, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, hits string, score string"
@@ -147,6 +149,31 @@ def test_mix_takes_near_targets(spark, rows):
     assert all(abs(sum(t) - target) <= 64 for target, t in by.items())
 
 
+def test_mix_equals_a_plain_count_of_its_draws(spark, rows):
+    """taken against every word of every drawn block, one by one; the mixed texts against taken; reruns agree."""
+    docs = spark.createDataFrame(rows * 3 + [(i, rows[6][1], "en", s, "h", "s") for i, s in ((1, "b"), (1, "a"), (2, "b"), (2, "b"))], DOCS)
+    table, draws = mixing.planned(docs, 16, 8)
+    plan, drawn = table.collect(), draws.collect()
+    assert sorted((r.shard, r.slot) for r in drawn) == [(i // 8, i % 8) for i in range(len(drawn))]
+    runs = {}
+    for r in sorted(plan, key=lambda r: (r.src, r.ord)):
+        runs.setdefault(r.src, []).extend([(r.src, r.ord)] * r["size"])
+    taken = {}
+    for d in drawn:
+        for who in runs[d.src][d.block * 16 : d.block * 16 + 16]:
+            taken[who] = taken.get(who, 0) + 1
+    got = {(r.src, r.ord): sum(p.n * p.times for p in r.p) for r in mixing.pieces(table, draws, 16).groupBy("src", "ord").agg(F.collect_list(F.struct("n", "times")).alias("p")).collect()}
+    assert got == taken and all(n <= 3 * r["size"] for r in plan for n in [taken.get((r.src, r.ord), 0)])
+    for src, run in runs.items():
+        target = next(r.target for r in plan if r.src == src)
+        assert abs(sum(n for (s, _), n in taken.items() if s == src) - target) <= 16
+    digest = mixing.digest(docs).collect()
+    assert sorted(digest, key=repr) == sorted(mixing.digest(docs).collect(), key=repr)
+    mixed = mixing.mixed(docs).collect()
+    by_row = lambda rs, n: sorted((repr(k), sum(x[1] for x in g)) for k, g in itertools.groupby(sorted(((r.doc_id, n(r)) for r in rs), key=repr), lambda x: x[0]))
+    assert by_row([r for r in digest if r.taken], lambda r: r.taken) == by_row(mixed, lambda r: len(words(r.text)))
+
+
 def test_targets_stop_at_three_times_the_size():
     assert mixing.targets([10, 1000, 0], [5, 2, 1]) == [30.0, 980.0, 0.0]
 
@@ -211,10 +238,63 @@ def test_language_model_score_equals_brute_force(spark, rows, order):
         assert min(abs(r.score / x - 1) for x in by_id[r.doc_id]) < 1e-6
 
 
-def test_language_id_und_and_held_out(spark, rows):
-    got = {r.doc_id: r for r in langid.digest(spark.createDataFrame(rows, DOCS)).collect()}
-    assert all((r.lang_pred == "und") == (not re.search(r"[^\W\d_]", next(x[1] or "" for x in rows if x[0] == i))) for i, r in got.items())
-    assert got[0].held_out == (zlib.crc32(b"0") % 5 == 0)
+LETTERLESS = [(700 + i, t, "en", "a", "h", "s") for i, t in enumerate(["½ ² Ⅷ", "一" * 0 + "12_3", "\u0301 ٣", "— …"])]
+
+
+def letters(text):
+    """Words of letters, found character by character."""
+    return "".join(c if c.isalpha() else " " for c in (text or "").lower()).split(" ")
+
+
+def test_language_id_equals_brute_force(spark, rows):
+    """Counts and back-off written out by string slices; a tie goes to the first language; very long and repeated rows."""
+    tie = [(800 + i, t, lang, "a", "h", "s") for i, (t, lang) in enumerate([("zzz zzz", "de"), ("zzz zzz", "en"), ("zzz", None), (rows[6][1] * 300, "en")])]
+    every = rows + LETTERLESS + tie
+    fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5
+    train = {(r[0], r[1], r[2]) for r in every if fold(r[0]) and r[1] is not None and r[2] is not None}
+    train = sorted({(lang, text) for _, text, lang in train})
+    langs = sorted({lang for lang, _ in train})
+    words_, grams = {}, {}
+    for lang, text in train:
+        for w in filter(None, letters(text)):
+            words_.setdefault(w, [0] * len(langs))[langs.index(lang)] += 1
+    for w, counts in words_.items():
+        for g in range(1, 5):
+            for i in range(len(w) + 3 - g):
+                own = grams.setdefault(g, {}).setdefault(f" {w} "[i : i + g], [0] * len(langs))
+                for k, c in enumerate(counts):
+                    own[k] += c
+    logs = lambda c, table: [np.log((x + 0.5) / (max(1, sum(t[k] for t in table.values())) + 0.5 * len(table))) for k, x in enumerate(c)]
+
+    def score(w):
+        if sum(words_.get(w, [0])) >= 2:
+            return np.array(logs(words_[w], words_))
+        total, rest = np.zeros(len(langs)), f" {w} "
+        while rest:
+            g = next((g for g in (4, 3, 2, 1) if g <= len(rest) and rest[:g] in grams.get(g, {})), 1)
+            if rest[:g] in grams.get(g, {}):
+                total = total + np.array(logs(grams[g][rest[:g]], grams[g])) / 4
+            rest = rest[max(1, g - 1) :]
+        return total
+
+    memo = {}
+    want = []
+    for r in every:
+        found = [w for w in letters(r[1]) if w]
+        total = sum((memo.setdefault(w, None) if memo.get(w) is not None else memo.__setitem__(w, score(w)) or memo[w] for w in found), np.zeros(len(langs)))
+        best = int(np.argmax(total))
+        p = np.exp((total - total[best]) * min(1, 20 / max(1, len(found))))
+        want.append((r[0], fold(r[0]) == 0, langs[best] if found else "und", round(1 / p.sum(), 6) if found else 0.0))
+    got = langid.digest(spark.createDataFrame(every, DOCS)).collect()
+    assert sorted(((r.doc_id, r.held_out, r.lang_pred, round(r.score, 6)) for r in got), key=repr) == sorted(want, key=repr)
+    assert all(r.lang_pred == "und" for r in got if r.doc_id is not None and 700 <= r.doc_id < 800)
+
+
+def test_language_sample_is_dealt_over_languages(spark):
+    rows = [(i, f"text {i}", "en", "a", "h", "s") for i in range(3000)] + [(5000 + i, f"selten {i}", "xx", "a", "h", "s") for i in range(20)]
+    rows += [(None, "again", "en", "a", "h", "s")] * 500
+    got = [r.lang for r in langid.sampled(spark.createDataFrame(rows, DOCS), langid.fold("doc_id", 5) >= 0, 100).collect()]
+    assert got.count("xx") == 20 and 20 <= got.count("en") <= 90
 
 
 @pytest.mark.parametrize("block_words", [400_000, 12])
@@ -271,6 +351,25 @@ def test_vectors_equal_brute_force(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in (900, 901, 902, 903))
 
 
+def test_links_near_the_bound_and_text_labels(spark):
+    """Pairs a little above cosine 0.93 in 64 dimensions, labels as text, repeated rows, other columns."""
+    r, rows = np.random.default_rng(21), []
+    for i in range(300):
+        a, b = r.standard_normal((2, 64))
+        a /= np.linalg.norm(a)
+        b -= a * (a @ b)
+        b /= np.linalg.norm(b)
+        cos = 0.935 if i % 2 else 0.925
+        rows += [(2 * i, a.tolist(), "x", 1), (2 * i + 1, (cos * a + np.sqrt(1 - cos * cos) * b).tolist(), "x", 1)]
+    rows += [rows[0], (2000, rows[0][1], "y", 1), (2001, rows[0][1], None, 1)]
+    got = vectors.near(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string, kept int")).collect()
+    links = {}
+    for x in got:
+        links.setdefault(x.vec_id, []).append(x.n_links)
+    assert sum(sum(links[2 * i + 1]) for i in range(1, 300, 2)) >= 0.97 * 150 and not any(sum(links[2 * i + 1]) for i in range(2, 300, 2))
+    assert links[0] == [1, 1] and links[2000] == links[2001] == [0]
+
+
 def test_short_vectors_are_found(spark):
     r, rows, want = np.random.default_rng(13), [], {}
     for d in (2, 3, 4, 6):
