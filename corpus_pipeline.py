@@ -7,12 +7,10 @@ towards their target weights; token output writes Simple-8b shards and returns a
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from sievewright.llm import decontaminate, jaccard, langid, mixing, tokenids
-from sievewright.llm.shared import shared_dir
+from sievewright.llm.shared import discard, stored
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -45,15 +43,15 @@ STAGES = [
     ("token-ID output", token_ids),
 ]
 
-#: No stage but decontamination can be said in SQL over whole tables; the operators have tests of their
-#: own, but no test runs run() or a stage function, so rows lost between stages would go unseen.
+#: No stage but decontamination can be said in SQL over whole tables; tests/llm/test_pipeline.py holds every stage against
+#: plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+    tables: list[DataFrame] = []
+    for name, stage in STAGES:
+        tables.append(stored(stage(spark, tables[-1] if tables else docs, sf_dir), f"stage-{name.replace(' ', '-')}"))
+        discard(*tables[:-1][-1:])
+    return tables[-1]
