@@ -98,7 +98,8 @@ def sampled(docs: DataFrame, chosen: Column, sample: int) -> DataFrame:
     n = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = n.select("lang", (sample / max(1, n.count()) / F.col("n")).alias("share"))
     below = (F.col("hash").cast("double") + 2.0**63) / 2.0**64 < F.col("share")
-    return labelled.join(share, "lang").where(below).select("lang", "text").distinct()
+    # a row a language, for each of which the model itself holds tables
+    return labelled.join(F.broadcast(share), "lang").where(below).select("lang", "text").distinct()
 
 
 def train(docs: DataFrame, chosen: Column, sample: int = SAMPLE) -> Model:
