@@ -82,10 +82,35 @@ def prefix_cached(usage: DataFrame, instance: str, prefix: Column, order: Sequen
     return usage.withColumn("cached", F.row_number().over(Window.partitionBy(instance, F.md5(prefix)).orderBy(*order)) > 1)
 
 
-def similar_topk(queries: DataFrame, library: DataFrame, k: int, least: float) -> DataFrame:
-    """queries (q, keys), library (e, keys): the k library rows of highest Jaccard per query (ties by e). Pairs meet on a
-    shared key, so nothing is compared that shares none."""
-    explode = lambda d, c: d.select(c, F.explode(F.array_distinct("keys")).alias("key"), F.size(F.array_distinct("keys")).alias(f"n{c}"))
-    both = explode(queries, "q").join(explode(library, "e"), "key").groupBy("q", "e", "nq", "ne").agg(F.count(F.lit(1)).alias("common"))
+#: Library keys that may be broadcast (some 40 bytes each).
+INDEXED = 1 << 20
+
+
+def similar_topk(queries: DataFrame, library: DataFrame, k: int, least: float, indexed: int = INDEXED) -> DataFrame:
+    """queries (q, keys), library (e, keys): the k library rows of highest Jaccard per query, at least ``least`` above 0
+    (ties by e). Nothing is compared that shares no key.
+
+    A library of at most ``indexed`` keys, which is counted first, is broadcast by key: a query's keys meet it in the task
+    that holds the query, and overlaps are added up there. A larger one meets on prefixes: of each row's keys, rarest in
+    the library first, all but those without which ``least`` could still be reached, and sizes must allow it; the pairs
+    found are verified on whole sets."""
+    sets = lambda d, c: d.select(c, F.array_distinct("keys").alias(f"k{c}")).withColumn(f"n{c}", F.size(f"k{c}"))
+    q, e = sets(queries, "q"), sets(library, "e")
+    entries = e.select("e", "ne", F.explode("ke").alias("key"))
+    asked = q.select("q", "nq", F.explode("kq").alias("key"))
+    if entries.count() <= indexed:
+        both = asked.join(F.broadcast(entries), "key").groupBy("q", "e", "nq", "ne").agg(F.count(F.lit(1)).alias("common"))
+    else:
+        rarity = entries.groupBy("key").agg(F.count(F.lit(1)).alias("rarity"))
+
+        def prefix(rows: DataFrame, c: str) -> DataFrame:
+            ranked = rows.join(rarity, "key", "left").select(c, f"n{c}", F.struct(F.coalesce("rarity", F.lit(0)).alias("rarity"), "key").alias("x"))
+            sorted_ = ranked.groupBy(c, f"n{c}").agg(F.array_sort(F.collect_list("x")).alias("x"))
+            first = F.slice("x", F.lit(1), (F.col(f"n{c}") - F.ceil(F.col(f"n{c}") * least) + 1).cast("int"))
+            return sorted_.select(c, f"n{c}", F.explode(F.transform(first, lambda x: x["key"])).alias("key"))
+
+        sized = (F.col("ne") >= F.col("nq") * least) & (F.col("nq") >= F.col("ne") * least)
+        pairs = prefix(asked, "q").join(prefix(entries, "e"), "key").where(sized).select("q", "e").distinct()
+        both = pairs.join(q, "q").join(e, "e").withColumn("common", F.size(F.array_intersect("kq", "ke")))
     score = F.col("common") / (F.col("nq") + F.col("ne") - F.col("common"))
-    return first_k(both.withColumn("score", score).where(F.col("score") >= least), ["q"], [F.desc("score"), "e"], k).select("q", "e", "score", "rank")
+    return first_k(both.withColumn("score", score).where((F.col("score") >= least) & (F.col("common") > 0)), ["q"], [F.desc("score"), "e"], k).select("q", "e", "score", "rank")
