@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CHARS_PER_TOKEN = 3.4
-#: Name parts that mark a function as a batch job, matched as whole parts between underscores.
+#: What marks a function's name, or a request's text, as a batch job.
+BATCH_NAMES = ["batch", "bulk", "export", "nightly", "report", "sync"]
 BATCH_MARKERS = ["batch", "bulk", "cron", "export", "nightly", "report", "sync"]
 
 
@@ -24,14 +25,33 @@ def lines(text: Column) -> Column:
     return F.split(text, "\r\n|\r|\n")
 
 
+def source_lines(text: Column) -> Column:
+    """The lines of a source file: what follows a final line end is none."""
+    return lines(F.regexp_replace(text, r"(\r\n|\r|\n)\z", ""))
+
+
 def fingerprint(shapes: Column, signature: Column) -> Column:
-    """12 hex digits over the sorted distinct shapes, then the signature."""
-    return F.substring(F.md5(F.array_join(F.concat(F.array_sort(F.array_distinct(shapes)), signature), "|")), 1, 12)
+    """12 hex digits over the sorted distinct shapes, then the sorted distinct signature."""
+    return F.substring(F.md5(F.array_join(F.concat(*(F.array_sort(F.array_distinct(x)) for x in (shapes, signature))), "|")), 1, 12)
 
 
 def function_kind(name: Column) -> Column:
     """module, batch or interactive, from the innermost function's name."""
-    return F.when(name.isNull(), "module").when(F.arrays_overlap(F.split(F.lower(name), "_"), F.array(*map(F.lit, BATCH_MARKERS))), "batch").otherwise("interactive")
+    return F.when(name.isNull(), "module").when(name.rlike("|".join(BATCH_NAMES)), "batch").otherwise("interactive")
+
+
+def looks_batch(text: Column) -> Column:
+    return F.lower(text).rlike("|".join(BATCH_MARKERS))
+
+
+def tokens_all(texts: Column) -> Column:
+    """Estimated tokens of an array of texts."""
+    return F.aggregate(F.transform(texts, tokens), F.lit(0).cast("long"), lambda a, n: a + n)
+
+
+def saved(before: Column, after: Column) -> Column:
+    """Share saved in per cent, one decimal; null where there was nothing to save."""
+    return F.round((before - after) * 100.0 / F.nullif(before, F.lit(0)), 1)
 
 
 def rendered(window: Column, first: Column) -> Column:
@@ -40,11 +60,6 @@ def rendered(window: Column, first: Column) -> Column:
     return F.array_join(F.transform(window, line), "\n")
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Overlap of two arrays as sets; 0 where either is empty."""
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
-
-
 def described(action: Column, params: Column) -> Column:
     """action(k=v ...) with sorted keys."""
     pairs = F.transform(F.array_sort(F.map_entries(params)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))

@@ -19,6 +19,7 @@ from .syntax import EXCEPTIONS
 
 #: Seconds the planner gives batch and interactive calls.
 BATCH_TIMEOUT, INTERACTIVE_TIMEOUT = "120.0", "10.0"
+#: Fixed: the line format that requests ask for.
 HEAD = r"^CLUSTER\s+(\S+)\s*$"
 
 
@@ -41,7 +42,7 @@ class Planner:
         whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
         blocks = _blocks(requests).groupBy("request_id", "block").agg(whole.alias("body"))
         has = lambda word: F.contains("body", F.lit(word))
-        batch = has("KIND batch")
+        batch = T.looks_batch(F.col("body"))
         said = [F.when(has("ambiguous_timeout"), F.concat(F.lit("ACTION set_timeout value="), F.when(batch, BATCH_TIMEOUT).otherwise(INTERACTIVE_TIMEOUT)))]
         said += [F.when(has(old), F.lit(f"ACTION map_exception from={old} to={new}")) for old, new in sorted(EXCEPTIONS.items())]
         actions = F.array_compact(F.array(*said))

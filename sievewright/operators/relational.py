@@ -36,7 +36,9 @@ def packed(items: DataFrame, by: Sequence[str], order: str, cost: str, budget: i
     """Greedy packing inside each group: (by, request, items as an ordered array, payload). A request closes when it has
     ``most`` items or the next would pass the budget; an item above the budget travels alone, none is dropped.
     The fold holds one group's (order, cost) pairs, so ``by`` must bound a group."""
-    zero = F.expr("cast(array() as array<struct<request:bigint,n:bigint,payload:bigint,o:bigint>>)")
+    kind = items.select(order).schema[0].dataType.simpleString()
+    kind = "bigint" if kind in ("int", "smallint", "tinyint") else kind
+    zero = F.expr(f"cast(array() as array<struct<request:bigint,n:bigint,payload:bigint,o:{kind}>>)")
 
     def step(done: Column, item: Column) -> Column:
         last = F.try_element_at(done, F.lit(-1))
@@ -49,7 +51,7 @@ def packed(items: DataFrame, by: Sequence[str], order: str, cost: str, budget: i
             item["o"].alias("o"),
         )))
 
-    folded = items.groupBy(*by).agg(F.aggregate(F.array_sort(F.collect_list(F.struct(F.col(order).cast("bigint").alias("o"), F.col(cost).cast("bigint").alias("c")))), zero, step).alias("_f"))
+    folded = items.groupBy(*by).agg(F.aggregate(F.array_sort(F.collect_list(F.struct(F.col(order).cast(kind).alias("o"), F.col(cost).cast("bigint").alias("c")))), zero, step).alias("_f"))
     rows = folded.select(*by, F.explode("_f").alias("f"))
     return rows.groupBy(*by, F.col("f.request").alias("request")).agg(F.array_sort(F.collect_list("f.o")).alias("items"), F.max("f.payload").alias("payload"))
 

@@ -105,24 +105,25 @@ def finalized(text: str) -> str:
 
 
 def migrated(files: DataFrame, work: DataFrame) -> DataFrame:
-    """files (path, text) after their batches of rules: work (path, batch_ord, lines, rules as structs of action and
-    params). A batch with any error leaves no trace in the text; its errors are reported. Files without work only pass
-    verification. One row a file; a file's batches meet in one row, bounded by its sites."""
+    """files (path, text, original, n_found) after their batches of rules: work (path, batch_ord, lines, rules as structs
+    of action and params). A batch with any error leaves no trace in the text; its errors are reported. Files without work
+    only pass verification, and files without a site that are as they were do not even do that. One row a file; a file's
+    batches meet in one row, bounded by its sites."""
     listed = F.transform("rules", lambda r: F.struct(r["action"].alias("action"), F.map_entries(r["params"]).alias("params")))
     todo = work.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("batch_ord", "lines", listed.alias("rules")))).alias("work"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for path, text, work_ in zip(b["path"], b["text"], b["work"], strict=True):
-                now, errors, original = text or "", [], text or ""
+            for path, text, original, found, work_ in zip(*(b[c] for c in ("path", "text", "original", "n_found", "work")), strict=True):
+                now, errors, original = text or "", [], original or ""
                 for batch in [] if work_ is None else work_:
                     rules = [(r["action"], {p["key"]: p["value"] for p in r["params"]}) for r in batch["rules"]]
                     new, _, _, wrong = applied(now, rules, {int(x) for x in batch["lines"]})
                     now, errors = (now if wrong else new), errors + wrong
                 now = finalized(now) if work_ is not None else now
-                failures, warnings = checked(now)
+                failures, warnings = checked(now) if found or now != original else ([], [])
                 out.append((path, now, now != original, errors, failures, warnings))
             yield pd.DataFrame(out, columns=["path", "text", "changed", "errors", "failures", "warnings"])
 
-    return files.select("path", "text").join(todo, "path", "left").mapInPandas(run, "path string, text string, changed boolean, errors array<string>, failures array<string>, warnings array<string>")
+    return files.select("path", "text", "original", "n_found").join(todo, "path", "left").mapInPandas(run, "path string, text string, changed boolean, errors array<string>, failures array<string>, warnings array<string>")

@@ -27,7 +27,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def sites(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, line, total, key): lines with the word; the key is the line's last letter, as a stand-in for its function."""
+    """(doc_id, line, total, key): lines with the word; the key is the line's first letter, as a stand-in for its function."""
     rows = table(spark, d, "documents").select("doc_id", T.lines(F.col("text")).alias("ls"))
     rows = rows.select("doc_id", F.size("ls").alias("total"), F.posexplode("ls").alias("line", "t"))
     return rows.where(F.lower("t").rlike(SITE)).select("doc_id", (F.col("line") + 1).cast("long").alias("line"), F.col("total").cast("long").alias("total"), F.substring("t", 1, 1).alias("key"))
@@ -136,12 +136,12 @@ def oversized_hunks(spark, d):
     return hunk_texts(spark, d).select("doc_id", "first", T.tokens(F.col("text")).alias("token_cost")).withColumn("oversized", F.col("token_cost") > 400)
 
 
-@query("SELECT event_id, CASE WHEN event_type IS NULL THEN 'module' WHEN list_has_any(string_split(lower(event_type || '_' || props), '_'), ['batch','bulk','cron','export','nightly','report','sync']) THEN 'batch' ELSE 'interactive' END AS kind FROM events")
+@query("SELECT event_id, CASE WHEN event_type IS NULL THEN 'module' WHEN regexp_matches(event_type || '_' || props, 'batch|bulk|export|nightly|report|sync') THEN 'batch' ELSE 'interactive' END AS kind FROM events")
 def fn_kind_case(spark, d):
     return table(spark, d, "events").select("event_id", T.function_kind(F.concat("event_type", F.lit("_"), "props")).alias("kind"))
 
 
-_FP = f"{_ISLANDS}, fp AS (SELECT doc_id, first, last, sites, substr(md5('site|' || key || '|' || CAST(sites AS VARCHAR)), 1, 12) AS fingerprint FROM hunks)"
+_FP = f"{_ISLANDS}, fp AS (SELECT doc_id, first, last, sites, substr(md5('site|' || array_to_string(list_sort(list_distinct([key, CAST(sites AS VARCHAR)])), '|')), 1, 12) AS fingerprint FROM hunks)"
 
 
 def printed(spark, d):

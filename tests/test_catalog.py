@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from sievewright.plans import catalog
+from sievewright.plans import catalog, sources
 
 DATA = "/root/testdata/sf0.001"
 
@@ -26,10 +26,10 @@ def rows(names, values):
     return sorted((tuple(plain(r[i]) for i in by) for r in values), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.SQL))
+@pytest.mark.parametrize("name", sorted(catalog.SQL | sources.SQL))
 def test_query_equals_sql(spark, duck, name):
-    df = catalog.QUERIES[name](spark, DATA)
-    got = duck.execute(catalog.SQL[name])
+    df = (catalog.QUERIES | sources.QUERIES)[name](spark, DATA)
+    got = duck.execute((catalog.SQL | sources.SQL)[name])
     names = [c[0] for c in got.description]
     assert sorted(df.columns) == sorted(names)
     assert rows(df.columns, df.collect()) == rows(names, got.fetchall())

@@ -1,7 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
+from sievewright.functions import text as T
 from sievewright.operators import answers, rules, syntax
 from sievewright.plans import migrate
+from sievewright.sources import corpus as source
 from sievewright.sources import files
 
 TIMEOUT = [("set_timeout", {"value": "5"})]
@@ -57,7 +59,8 @@ def test_migration_and_escalation(spark, tmp_path):
     assert len(got) == 20 and got["plain.py"].text == "x = 1\n" and not got["plain.py"].changed
     assert "httpx.get(u, timeout=120.0)" in got["a3.py"].text and "import httpx" in got["a3.py"].text
     assert "timeout=10.0" in got["b0.py"].text and "httpx.TimeoutException" in got["b0.py"].text and not got["b0.py"].failures
-    assert first.clusters.count() == 3 and {r.path for r in first.unverified().collect()} == {"odd.py", "broken.py"}
+    assert first.clusters.count() == 3 and {r.path for r in first.unverified().collect()} == {"odd.py"}
+    assert {(r.stage, r.path) for r in first.warnings.collect() if r.path} == {("scan", "broken.py"), ("escalate", "odd.py")}
     with pytest.raises(files.Unverified):
         files.write_verified(first.output, f"{tmp_path}/refused")
 
@@ -66,7 +69,7 @@ def test_migration_and_escalation(spark, tmp_path):
             name = F.regexp_extract("text", r"CLUSTER\s+(\S+)", 1)
             return requests.select("request_id", F.concat(F.lit("CLUSTER "), name, F.lit("\nACTION map_exception from=requests.Timeout to=httpx.TimeoutException")).alias("text"))
 
-    second = migrate.migrate(corpus(spark).where("path != 'broken.py'"), answers.Planner(), Strong(), 3)
+    second = migrate.migrate(corpus(spark), answers.Planner(), Strong(), 3)
     assert second.rounds == 1 and second.unverified().isEmpty()
     assert files.write_verified(second.output, f"{tmp_path}/done") == 17
 
@@ -74,8 +77,8 @@ def test_migration_and_escalation(spark, tmp_path):
 def test_no_files_and_scripted_model(spark):
     none = migrate.migrate(corpus(spark).limit(0), answers.Scripted([]), answers.Planner())
     assert none.output.count() == 0 and none.rounds == 0
-    silent = migrate.migrate(corpus(spark).where("path = 'a1.py'"), answers.Scripted([]), levers=migrate.Levers(False, False, False))
-    assert silent.unverified().count() == 1 and silent.warnings.count() == 1
+    silent = migrate.migrate(corpus(spark).where("path = 'a1.py'"), answers.Scripted([]), levers=migrate.Levers(windowing=False, clustering=False, packing=False))
+    assert silent.unverified().count() == 1 and {r.stage for r in silent.warnings.collect()} == {"answer", "escalate"}
 
 
 def test_large_clusters_are_asked_in_shards_of_forty(spark):
@@ -106,3 +109,84 @@ def test_files_are_read_byte_for_byte(spark, tmp_path):
     rows, refused = files.read_files(spark, str(tmp_path))
     assert [tuple(r) for r in rows.collect()] == [("d/x.py", "é = 1\r\n\n")] and [r.path for r in refused.collect()] == ["bad.py"]
     assert syntax.codemod(rows).count() == 1
+
+
+def test_small_clusters_share_one_request(spark):
+    found = migrate.migrate(corpus(spark), answers.Planner())
+    row = migrate.report(found).first()
+    assert (row.clusters, row.requests, row.declined, row.escalations) == (3, 1, 1, 0)
+    assert row.files == 20 and row.touched == 17 and row.migrated == 16 and row.cached_tokens == 0
+
+
+TWO = """import requests
+
+
+class A:
+    def run(self, u):
+        return requests.get(u)
+
+
+class B:
+    def run(self, u):
+        return requests.get(u)
+"""
+FAR = "import requests\n\n\ndef nightly_copy(u):\n" + "    u = u + 1\n" * 20 + "    return requests.get(u)\n"
+
+
+def hunks_of(spark, text):
+    rows = spark.createDataFrame([("x.py", text)], "path string, text string")
+    return sorted(migrate.hunks(syntax.findings(rows), rows).collect(), key=lambda r: r.start)
+
+
+def test_methods_of_one_name_stay_apart(spark):
+    assert [list(r.site_lines) for r in hunks_of(spark, TWO)] == [[6], [11]]
+
+
+def test_a_far_definition_is_shown(spark):
+    row = hunks_of(spark, FAR)[0]
+    assert row.enclosing == "def nightly_copy(u):" and row.code.split("\n")[:2] == ["--- x.py:19-25", "     | (in) def nightly_copy(u):"]
+    assert "fn:batch" in row.signature and hunks_of(spark, TWO)[0].enclosing is None and not row.oversized
+    assert hunks_of(spark, FAR.replace("u + 1", "u + " + "1" * 300))[0].oversized
+
+
+def test_examples_are_similar_or_absent(spark):
+    rows = [("t", ["ambiguous_timeout", "call", "get", "params", "fn:interactive"]), ("z", ["nothing", "alike"])]
+    got = {r.fingerprint: r.examples for r in migrate.examples(spark.createDataFrame(rows, "fingerprint string, keys array<string>")).collect()}
+    assert set(got) == {"t"} and len(got["t"]) == 2 and "somebody waits" in got["t"][0]
+
+
+def test_requests_are_the_same_each_time(spark):
+    texts = [migrate.requests_of(migrate.migrate(source.built(spark, 40), answers.Planner()).clusters).orderBy("request_id").collect() for _ in range(2)]
+    assert texts[0] == texts[1]
+
+
+def test_pinned_bounds_on_the_published_corpus(spark):
+    """The published inequalities, over 120 files."""
+    files_ = files.kept(source.built(spark), "corpus")
+    key = source.stats(files_).first()
+    done = migrate.migrate(files_, answers.Planner())
+    row, naive = migrate.report(done).first(), migrate.ledger(migrate.naive(files_)).first()
+    assert (row.sites, row.sites_by_codemod, row.touched) == (key.sites, key.mechanical, key.touched)
+    assert row.unverified == 0 and row.migrated == row.touched and row.declined == 0
+    assert row.total_tokens < 0.15 * naive.total_tokens and row.output_tokens < 0.05 * naive.output_tokens and row.requests < naive.requests / 10
+    assert row.clusters < row.hunks / 5 and row.requests < row.clusters
+    texts = done.codemod.where("n_unresolved > 0").agg(F.sum(T.tokens(F.col("text")))).first()[0]
+    touched = done.codemod.where("n_unresolved + n_resolved > 0").agg(F.sum(T.tokens(F.col("text")))).first()[0]
+    shown = done.hunks.agg(F.sum("token_cost")).first()[0]
+    assert shown < 0.8 * texts and shown < 0.6 * touched
+    off = {r.configuration: r for r in migrate.ablation(files_, answers.Planner(), {k: v for k, v in migrate.ABLATIONS.items() if k in ("no deterministic pass", "no clustering", "no packing")}).collect()}
+    assert off["no deterministic pass"].total_tokens > 1.8 * row.total_tokens and off["no deterministic pass"].unverified > 50
+    assert off["no clustering"].total_tokens > 8 * row.total_tokens and off["no clustering"].clusters == row.hunks
+    assert off["no packing"].requests == row.clusters
+    saved = {r.measure: r.saved for r in migrate.comparison(files_, done).collect()}
+    assert set(saved) == {"requests", "input_tokens", "output_tokens", "total_tokens", "cost"} and min(saved.values()) > 80
+
+
+def test_escalation_recovers_from_a_model_that_says_nothing(spark):
+    files_ = source.built(spark, 20, seed=11)
+    poor = migrate.migrate(files_, answers.Scripted([]))
+    row = migrate.report(poor).first()
+    assert row.unverified > 0 and row.declined == 0
+    good = migrate.migrate(files_, answers.Scripted([]), answers.Planner())
+    row = migrate.report(good).first()
+    assert row.unverified == 0 and row.escalations == row.clusters and good.usage.where("model = 'strong'").count() >= 1

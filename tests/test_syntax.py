@@ -18,7 +18,7 @@ def test_mechanical_file_is_settled_on_bytes():
 def test_unresolved_keeps_the_import():
     text, found, _ = syntax.settled("import requests\nfor x in y:\n    try:\n        requests.post(x)\n    except (requests.exceptions.Timeout, KeyError):\n        pass\n")
     assert [(f["shape"], f["resolved"]) for f in found] == [("ambiguous_timeout", False), ("ambiguous_retry", False)]
-    assert found[0]["signature"] == ["call", "post", "in_loop", "in_try"] and "import requests" in text
+    assert found[0]["signature"] == ["call", "post", "in_loop", "in_try", "fn:module"] and "import requests" in text
 
 
 def test_broken_files_pass_through(spark):
