@@ -4,11 +4,12 @@ A window is a run of ``size`` item words (a shorter item, but not an empty one,
 whole window one shingle of it is a sufficient prefix, so each window is indexed by its rarest word alone, rarity being
 the word's count over all documents. A document word that equals a window's rarest word gives the only start at which
 the window can stand (positional bound); starts before the text or too near its end go (length bound); the rest are
-verified word by word. Documents are neither shuffled nor collected. The benchmark is read in blocks of at most
-``block_words`` words; each block is broadcast and one mapping over the documents, and the blocks' mappings are chained.
+verified word by word. Documents are neither shuffled nor collected: one scan counts the benchmark's words, one looks for
+windows. The benchmark is read in blocks of at most ``block_words`` words (or one longer item); each block is broadcast
+and one mapping over the documents, and the blocks' mappings are chained into the second scan.
 
 Defined results: null or empty texts have no words and no hits; an item without words has no window; items with one id
-count once; a null item id is written as the empty string; further columns of either table are ignored.
+count once; a null item id is written as the empty string; further columns of the benchmark are ignored.
 """
 
 from __future__ import annotations
@@ -17,14 +18,15 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import in_arrow
+from .shared import discard, in_arrow, stored
 
-WINDOW, BLOCK_WORDS = 10, 400_000
+WINDOW, BLOCK_WORDS, BITS = 10, 400_000, 24
 HITS = "n_words long, hits array<long>, items array<string>"
 
 
@@ -94,26 +96,50 @@ def blocks(benchmark: DataFrame, size: int, most: int) -> Iterator[Block]:
         yield Block(own, size)
 
 
-def _counts(docs: DataFrame, block: Block) -> np.ndarray:
-    """How often each vocabulary word occurs in all documents: one row a task and word, then summed."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(block.vocabulary)
+def _vocabulary(benchmark: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size, 2**24 bits, of all words of the benchmark."""
+    out = np.zeros(1 << BITS - 6, np.uint64)
+    for (text,) in benchmark.select("text").toLocalIterator():
+        at = next(W.words(pa.array([text], pa.large_string()), W.ALNUM)).key >> np.uint64(64 - BITS)
+        np.bitwise_or.at(out, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
+def counted(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(word, n), stored: how often words of the benchmark, and some that share a bit with one, occur in all documents.
+    One scan, whatever the size of the benchmark; a task adds up its words before it sends them."""
+    shared = docs.sparkSession.sparkContext.broadcast(_vocabulary(benchmark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = vocabulary.value
-        total = np.zeros(len(own), np.int64)
+        own, held, many = shared.value, [], 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return keys, np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)
+
         for b in batches:
             for w in W.words(b.column(0), W.ALNUM):
-                at = np.minimum(np.searchsorted(own, w.key), len(own) - 1)
-                total += np.bincount(at[own[at] == w.key], minlength=len(own))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["word", "n"])
-
-    out = np.zeros(len(block.vocabulary), np.int64)
-    if len(out):
-        rows = in_arrow(docs.select("text"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        for word, n in rows.collect():  # at most the block's words
-            out[word] = n
-    vocabulary.unpersist()
+                at = w.key >> np.uint64(64 - BITS)
+                held.append(np.unique(w.key[own[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) > 0], return_counts=True))
+                many += len(held[-1][0])
+                if many > 1 << 20:
+                    held = [summed()]
+                    many = 0
+        if held:
+            keys, n = summed()
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], names=["word", "n"])
+
+    return stored(in_arrow(docs.select("text"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def _counts(table: DataFrame, block: Block) -> np.ndarray:
+    """Of the table's words, the counts of the block's vocabulary."""
+    own = block.vocabulary.astype(np.int64)
+    out = np.zeros(len(own), np.int64)
+    if len(own):
+        wanted = table.sparkSession.createDataFrame(pd.DataFrame({"word": own, "at": np.arange(len(own))}))
+        for at, n in table.join(wanted, "word").select("at", "n").collect():  # at most the block's words
+            out[at] = n
     return out
 
 
@@ -146,12 +172,14 @@ def _match(docs: DataFrame, block: Block) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Every document row with n_words, hits (sorted numbers of the words inside occurrences) and items (sorted ids)."""
+    """Every document row with n_words, hits (sorted numbers of the words inside occurrences) and items (sorted ids), which
+    take the place of columns of these names."""
     out = docs.drop("n_words", "hits", "items").select("*", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<long>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
-    any_block = False
+    table, any_block = counted(docs, benchmark), False
     for block in blocks(benchmark, size, block_words):
-        block.order(_counts(docs, block))
+        block.order(_counts(table, block))
         out, any_block = _match(out, block), True
+    discard(table)
     return out if any_block else _match(out, _empty(size))
 
 

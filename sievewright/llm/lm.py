@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .langid import fold
-from .shared import in_arrow, stored, width
+from .shared import in_arrow, stored, whole, width
 
 U = np.uint64
 #: Context bytes of the model, 3 to 7.
@@ -203,6 +203,7 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=U)
 
 
+@whole
 def scored(docs: DataFrame, train: str, order: int = ORDER) -> DataFrame:
     """doc_id, the boolean column ``train``, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession

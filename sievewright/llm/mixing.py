@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import in_arrow, running, stored, width
+from .shared import in_arrow, running, stored, whole, width
 
 BLOCK, SLOTS, MOST, WEIGHTS, SEED = 64, 2048, 3, (5, 2, 1), 20_26
 
@@ -150,6 +150,7 @@ def pieces(rows: DataFrame, draws: DataFrame, block: int = BLOCK) -> DataFrame:
     return cut.join(times, ["src", "block"])
 
 
+@whole
 def digest(docs: DataFrame) -> DataFrame:
     rows, draws = planned(docs)
     taken = pieces(rows, draws).groupBy("src", "ord").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))

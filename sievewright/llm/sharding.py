@@ -12,6 +12,8 @@ Unlinked documents, no matter where, cut no link; they fill each shard up to its
 half of their bytes in size order by a low-discrepancy sequence over what each shard lacks, the smaller half by running
 totals against what is still missing, so shards differ by about one small document where no single text is larger.
 
+Rows are told apart by id and text alone, so shards do not depend on files or their order.
+
 Defined results: null text has size 8, crc 0 and no links; empty texts are equal texts. Rows with equal ids are kept.
 """
 
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import running, stored
+from .shared import running, stored, whole
 
 SHARDS, BUCKETS, LARGE = 24, 1024, 8
 STATE = "g string, size long, shard int, n long"
@@ -153,11 +155,12 @@ def _fill(single: DataFrame, lack: list[float], shards: int) -> DataFrame:
     return head.unionByName(tail).drop("run_rows", "run_sum")
 
 
+@whole
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
     bytes_ = F.coalesce("text", F.lit("")).cast("binary")
     base = docs.select("doc_id", (F.octet_length(bytes_) + 8).cast("long").alias("size"), F.crc32(bytes_).alias("text_crc32"), F.md5(F.col("text").cast("binary")).alias("g"))
-    base = stored(base.withColumn("rid", F.monotonically_increasing_id()), "base")
+    base = stored(base.withColumn("rid", F.xxhash64("doc_id", "g")), "base")  # equal rows are interchangeable
     whole = base.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     groups = stored(base.where("g is not null").groupBy("g", "size").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "groups")
     linked = base.join(groups.select("g", "size"), ["g", "size"])

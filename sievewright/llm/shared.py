@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,14 +15,38 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names; a temporary one only where the session names none (tests)."""
+    """The checkpoint folder the cluster names; a temporary one only where one process is the whole cluster (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="sievewright-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+#: Tables written by the operators that are running, one list for each.
+_running: list[list[DataFrame]] = []
+
+
+def whole(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator's result written as one table, and all other tables that it wrote deleted."""
+
+    @functools.wraps(operator)
+    def run(*args, **options) -> DataFrame:
+        _running.append([])
+        result = None
+        try:
+            result = stored(operator(*args, **options), operator.__name__)
+        finally:
+            discard(*(t for t in _running.pop() if t is not result))
+        if _running:
+            _running[-1].append(result)
+        return result
+
+    return run
+
+
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: lineage ends here and a lost executor
     costs at most a re-read."""
@@ -28,6 +54,8 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    if _running:
+        _running[-1].append(out)
     return out
 
 

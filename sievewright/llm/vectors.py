@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import in_arrow, stored, width
+from .shared import in_arrow, stored, whole, width
 from .words import mix
 
 U = np.uint64
@@ -157,6 +157,7 @@ def verified(pairs_: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
     return in_arrow(pairs_.join(x, "a").join(y, "b").select("a", "b", "xa", "xb", "na", "nb"), run, "a long, b long, na long, nb long")
 
 
+@whole
 def near(rows: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, step: float = STEP, hamming: int = HAMMING) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of (vec_id, embedding, label)."""
     finite = F.forall("emb", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf")))

@@ -315,15 +315,28 @@ def test_decontamination_equals_brute_force(spark, rows, block_words):
         assert (r.n_words, sorted(r.hits), r["items"]) == (len(w), sorted(hit), sorted(found))
 
 
-def test_urls():
-    rules = urls.Rules(urls.RULES)
-    assert urls.split("HTTP://A.Example.NET/en/x?y") == ("a.example.net", "/en/x")
-    assert rules.best("a.example.net", "/en/x") == ("example.net/en/", "allow")
-    assert rules.best("example.net", "/x") == ("net/", "block") and rules.best("xnet", "/") is None
-    found = urls.automaton(urls.STRICT, urls.SOFT)
-    assert urls.verdict("http://a/casino", found) == "block" and urls.verdict("http://a/casinos", found) == "allow"
-    assert urls.verdict("http://a/free-free", found) == "allow" and urls.verdict("http://a/free-bet", found) == "block"
-    assert urls.split(None) == ("", "") and urls.verdict(None, found) == "allow"
+def test_urls(spark):
+    want = {
+        "HTTP://A.Example.NET/en/x?y": ("a.example.net", "/en/x", "example.net/en/", "allow"),
+        "http://example.net/x": ("example.net", "/x", "net/", "block"),
+        "http://xnet/#a": ("xnet", "/", None, "allow"),
+        "http://a/casino": ("a", "/casino", None, "block"),
+        "http://a/casinos": ("a", "/casinos", None, "allow"),
+        "http://a/free-free": ("a", "/free-free", None, "allow"),
+        "http://a/FREE-bet": ("a", "/FREE-bet", None, "block"),
+        "ftp://a.org/fr/ ://b/casino": ("a.org", "/fr/ ://b/casino", "org/fr/", "allow"),
+        "a/casino": ("", "", None, "block"),
+        "http://?casino": ("", "", None, "block"),
+        "http://Ä.net/ü?": ("Ä.net", "/ü", "net/", "block"),
+        "http://a/" + "x/" * 50_000 + "casino": ("a", "/" + "x/" * 50_000 + "casino", None, "block"),
+        "": ("", "", None, "allow"),
+        None: ("", "", None, "allow"),
+    }
+    rows = [(i, u, "mine", None) for i, u in enumerate([*want, *want])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, verdict string")
+    got = sorted(map(tuple, urls.judged(pages).collect()))
+    assert got == [(i, *want[u]) for i, u, *_ in rows]
+    assert {r.verdict for r in urls.judged(pages, [], {}).collect()} == {"allow"} and urls.judged(pages.limit(0)).collect() == []
 
 
 def test_chat_round_trip(spark):
