@@ -9,8 +9,10 @@ takes from it is one sum and one number a context.
 
 Both models are asked alike. Documents are dealt to hash chunks; a chunk sends its distinct word keys and byte runs,
 each with its count in training documents, to hash buckets; a bucket adds up and answers in the order asked. Runs go by
-their last three context bytes, so all contexts of three bytes and more that a bucket needs are its own. Shorter ones
-come from the counts of three-byte runs, at most 2**24 whatever the corpus holds, the one thing that is broadcast.
+their last three context bytes, or, where a context holds more than 1 / SHARE of all symbols, by as many bytes more as it
+takes to fall below that; so all longer contexts that a bucket needs are its own, and none holds a frequent context
+whole. What stands above comes by broadcast: the counts of three-byte runs, at most 2**24 whatever the corpus holds, and
+those of the symbols in frequent contexts, at most 257 x SHARE for each length.
 
 Defined results: null text is empty (one token, the end); rows with equal ids are scored one by one; a null id is hashed
 as the empty string; without training documents all counts are 0 and every byte costs log10 257.
@@ -37,6 +39,8 @@ U = np.uint64
 ORDER = 6
 #: Bytes of the runs whose counts every bucket gets, and into how many parts their sums are dealt.
 LOW, PARTS = 3, 16
+#: A context of more than this part of all symbols is split by its longer ones.
+SHARE = 1024
 #: Fixed values, bytes that UTF-8 never holds: what stands before a text, and its end.
 PAD, END = 0xFE, 0xFF
 
@@ -124,11 +128,45 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
-def levels(keys: np.ndarray, n: np.ndarray, order: int, below: list[Level]) -> list[Level]:
-    """``below`` and the levels after it up to ``order``, from runs of order + 1 bytes and their counts."""
-    found = list(below)
-    for j in range(len(below), order + 1):
+def _among(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys are in the sorted table; most are told by their last three bytes."""
+    ends = np.zeros(1 << 24, bool)
+    ends[_tail(table, 3).astype(np.int64)] = True
+    out = ends[_tail(keys, 3).astype(np.int64)]
+    out[out] = _find(table, keys[out])[1]
+    return out
+
+
+class Below(NamedTuple):
+    """What every bucket gets: the levels of contexts of 0 to 2 bytes; by context length from 3 on, the frequent contexts
+    and their runs with counts."""
+
+    low: list[Level]
+    frequent: dict[int, np.ndarray]
+    runs: dict[int, tuple[np.ndarray, np.ndarray]]
+
+    def place(self, keys: np.ndarray, order: int) -> np.ndarray:
+        """What runs are dealt by: the shortest context, of three bytes at least, that is not frequent."""
+        context = keys >> U(8)
+        out, open_ = W.mix(_tail(context, LOW)), np.ones(len(keys), bool)
+        for j, table in sorted(self.frequent.items()):
+            open_[open_] = _find(table, _tail(context[open_], j))[1]
+            out[open_] = W.mix(_tail(context[open_], min(j + 1, order)) + U(j))
+        return out
+
+
+def levels(keys: np.ndarray, n: np.ndarray, order: int, below: Below) -> list[Level]:
+    """All levels up to ``order``, from runs of order + 1 bytes and their counts (0: only asked for), and what is known of
+    frequent contexts."""
+    found, asked = list(below.low), keys
+    keys, n = keys[n > 0], n[n > 0]
+    for j in range(len(found), order + 1):
         run, c = _sums(_tail(keys, j + 1), n)
+        if j in below.frequent:
+            own = ~_find(below.frequent[j], run >> U(8))[1]
+            more, count = below.runs[j]
+            here = _find(np.unique(_tail(asked >> U(8), j)), more >> U(8))[1]
+            run, c = _sums(np.concatenate([run[own], more[here]]), np.concatenate([c[own], count[here]]))
         context = run >> U(8)
         first = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(run) else np.zeros(0, np.int64)
         shorter = np.zeros(len(run), np.int64)
@@ -162,14 +200,17 @@ def costs(keys: np.ndarray, model: list[Level]) -> np.ndarray:
     return cost
 
 
-def low(docs: DataFrame) -> list[Level]:
-    """Levels of contexts of 0 to 2 bytes, from all rows' runs of 3 bytes; of those there are at most 2**24."""
+def tallies(docs: DataFrame, size: int, near: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of so many bytes in all rows and their counts: of three bytes at most 2**24; of more, those that begin or end
+    with a run in ``near``, at most 2 x 257 for each of them."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Sums()
         for b in batches:
             for w in W.words(b.column(0), W.SPACED, keys=False):
-                held.add(*_counted(runs(w, LOW - 1)))
+                code = runs(w, size - 1)
+                code = code if near is None else code[_among(near, code >> U(8)) | _among(near, _tail(code, size - 1))]
+                held.add(*_counted(code))
         keys, n = held.done()
         part = (W.mix(keys) % U(PARTS)).astype(np.int64)
         for i in np.unique(part).tolist():
@@ -189,7 +230,22 @@ def low(docs: DataFrame) -> list[Level]:
     total = Sums()
     for k, n in rows:
         total.add(np.frombuffer(k, U), np.frombuffer(n, np.int64))
-    return levels(*total.done(), LOW - 1, [])
+    return total.done()
+
+
+def known_below(docs: DataFrame, order: int, share: int = SHARE) -> Below:
+    """A scan for the levels of up to two bytes, and one for each length at which some contexts are frequent."""
+    keys, n = tallies(docs, LOW)
+    out, whole_ = Below(levels(keys, n, LOW - 1, Below([], {}, {})), {}, {}), int(n.sum())
+    for j in range(LOW, order):
+        table = keys[n * share > whole_]
+        table = table if j == LOW else table[_find(out.frequent[j - 1], _tail(table, j - 1))[1]]
+        if not len(table):
+            break
+        keys, n = tallies(docs, j + 1, table)
+        own = _find(table, keys >> U(8))[1]
+        out.frequent[j], out.runs[j] = table, (keys[own], n[own])
+    return out
 
 
 def _packed(keys: np.ndarray) -> bytes:
@@ -204,16 +260,16 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 @whole
-def scored(docs: DataFrame, train: str, order: int = ORDER) -> DataFrame:
+def scored(docs: DataFrame, train: str, order: int = ORDER, share: int = SHARE) -> DataFrame:
     """doc_id, the boolean column ``train``, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
     k, own = width(spark), docs.select("doc_id", F.col(train).alias("train"), F.coalesce("text", F.lit("")).alias("text"))
-    below = spark.sparkContext.broadcast(low(own.where("train")))
+    below = spark.sparkContext.broadcast(known_below(own.where("train"), order, share))
     own = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2 * k)).cast("int"))
 
     def buckets(keys: np.ndarray, of_runs: bool) -> tuple[np.ndarray, np.ndarray]:
         """Order of sorted keys by bucket, and where each bucket begins in it."""
-        bucket = ((W.mix(_tail(keys >> U(8), LOW)) if of_runs else keys) % U(k)).astype(np.int64)
+        bucket = ((below.value.place(keys, order) if of_runs else keys) % U(k)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         return by, np.searchsorted(bucket[by], np.arange(k + 1))
 
@@ -258,7 +314,7 @@ def scored(docs: DataFrame, train: str, order: int = ORDER) -> DataFrame:
             keys = [_unpacked(x) if i >= k else np.frombuffer(x, U) for _, x, _ in asked]
             total, n = _sums(np.concatenate(keys), np.concatenate([np.frombuffer(zlib.decompress(x), "<i8") for *_, x in asked]))
             tokens, distinct = (0, 0) if i >= k else (int(n.sum()), int((n > 0).sum()))
-            told = costs(total, levels(total[n > 0], n[n > 0], order, below.value)).astype("<f4") if i >= k else n.astype("<i8")
+            told = costs(total, levels(total, n, order, below.value)).astype("<f4") if i >= k else n.astype("<i8")
             out = [zlib.compress(told[np.searchsorted(total, x)].tobytes(), 1) for x in keys]
             first = np.arange(len(out)) == 0
             yield pa.RecordBatch.from_arrays(

@@ -197,11 +197,11 @@ def test_language_model_base_and_score(spark, rows):
     assert all(r.train_tokens == n and abs(r.base_score - want[r.doc_id]) < 1e-6 for r in got)
 
 
-@pytest.mark.parametrize("order", [3, 6, 7])
-def test_language_model_score_equals_brute_force(spark, rows, order):
-    """Symbol by symbol over plain dictionaries, with the excluded symbols as a set."""
+@pytest.mark.parametrize(("order", "share"), [(3, 1024), (6, 0), (6, 40), (6, 1 << 30), (7, 1024)])
+def test_language_model_score_equals_brute_force(spark, rows, order, share):
+    """Symbol by symbol over plain dictionaries, with the excluded symbols as a set; no, some or all contexts frequent."""
     docs = spark.createDataFrame(rows, DOCS)
-    got = lm.scored(docs.withColumn("train", langid.fold("doc_id", 7) != 2), "train", order).collect()
+    got = lm.scored(docs.withColumn("train", langid.fold("doc_id", 7) != 2), "train", order, share).collect()
     seen = {}
     coded = {r[1]: [0xFE] * order + list(re.sub("[A-Z]+", lambda m: m[0].lower(), r[1] or "").encode()) + [0xFF] for r in rows}
     for r in rows:
