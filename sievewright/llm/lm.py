@@ -9,10 +9,10 @@ takes from it is one sum and one number a context.
 
 Both models are asked alike. Documents are dealt to hash chunks; a chunk sends its distinct word keys and byte runs,
 each with its count in training documents, to hash buckets; a bucket adds up and answers in the order asked. Runs go by
-their last three context bytes, or, where a context holds more than 1 / SHARE of all symbols, by as many bytes more as it
+their last three context bytes, or, where a context holds more than 1 / share of all symbols, by as many bytes more as it
 takes to fall below that; so all longer contexts that a bucket needs are its own, and none holds a frequent context
 whole. What stands above comes by broadcast: the counts of three-byte runs, at most 2**24 whatever the corpus holds, and
-those of the symbols in frequent contexts, at most 257 x SHARE for each length.
+those of the symbols in frequent contexts, at most 257 x share for each length.
 
 Defined results: null text is empty (one token, the end); rows with equal ids are scored one by one; a null id is hashed
 as the empty string; without training documents all counts are 0 and every byte costs log10 257.
@@ -39,8 +39,9 @@ U = np.uint64
 ORDER = 6
 #: Bytes of the runs whose counts every bucket gets, and into how many parts their sums are dealt.
 LOW, PARTS = 3, 16
-#: A context of more than this part of all symbols is split by its longer ones.
-SHARE = 1024
+#: A context of more than 1 / share of all symbols is split by its longer ones. The share is the number of shuffle
+#: partitions, the session's measure of how large the data are, between these bounds.
+SHARE = (256, 1 << 16)
 #: Fixed values, bytes that UTF-8 never holds: what stands before a text, and its end.
 PAD, END = 0xFE, 0xFF
 
@@ -128,13 +129,19 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
-def _among(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which keys are in the sorted table; most are told by their last three bytes."""
-    ends = np.zeros(1 << 24, bool)
-    ends[_tail(table, 3).astype(np.int64)] = True
-    out = ends[_tail(keys, 3).astype(np.int64)]
-    out[out] = _find(table, keys[out])[1]
-    return out
+class Among:
+    """Which keys are in a sorted table; most are told by their last three bytes."""
+
+    def __init__(self, table: np.ndarray):
+        self.table, self.ends = table, np.zeros(1 << 24, bool)
+        self.ends[_tail(table, 3).astype(np.int64)] = True
+        self.short = not len(table) or int(table[-1]) < 1 << 24
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        out = self.ends[_tail(keys, 3).astype(np.int64)]
+        if not self.short:
+            out[out] = _find(self.table, keys[out])[1]
+        return out
 
 
 class Below(NamedTuple):
@@ -205,11 +212,11 @@ def tallies(docs: DataFrame, size: int, near: np.ndarray | None = None) -> tuple
     with a run in ``near``, at most 2 x 257 for each of them."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Sums()
+        held, among = Sums(), None if near is None else Among(near)
         for b in batches:
-            for w in W.words(b.column(0), W.SPACED, keys=False):
+            for w in W.texts(b.column(0)):
                 code = runs(w, size - 1)
-                code = code if near is None else code[_among(near, code >> U(8)) | _among(near, _tail(code, size - 1))]
+                code = code if near is None else code[among(code >> U(8)) | among(_tail(code, size - 1))]
                 held.add(*_counted(code))
         keys, n = held.done()
         part = (W.mix(keys) % U(PARTS)).astype(np.int64)
@@ -233,7 +240,7 @@ def tallies(docs: DataFrame, size: int, near: np.ndarray | None = None) -> tuple
     return total.done()
 
 
-def known_below(docs: DataFrame, order: int, share: int = SHARE) -> Below:
+def known_below(docs: DataFrame, order: int, share: int) -> Below:
     """A scan for the levels of up to two bytes, and one for each length at which some contexts are frequent."""
     keys, n = tallies(docs, LOW)
     out, whole_ = Below(levels(keys, n, LOW - 1, Below([], {}, {})), {}, {}), int(n.sum())
@@ -260,11 +267,11 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 @whole
-def scored(docs: DataFrame, train: str, order: int = ORDER, share: int = SHARE) -> DataFrame:
+def scored(docs: DataFrame, train: str, order: int = ORDER, share: int | None = None) -> DataFrame:
     """doc_id, the boolean column ``train``, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
     k, own = width(spark), docs.select("doc_id", F.col(train).alias("train"), F.coalesce("text", F.lit("")).alias("text"))
-    below = spark.sparkContext.broadcast(known_below(own.where("train"), order, share))
+    below = spark.sparkContext.broadcast(known_below(own.where("train"), order, min(max(k, SHARE[0]), SHARE[1]) if share is None else share))
     own = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2 * k)).cast("int"))
 
     def buckets(keys: np.ndarray, of_runs: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -322,8 +329,8 @@ def scored(docs: DataFrame, train: str, order: int = ORDER, share: int = SHARE)
                 names=["bucket", "chunk", "counts", "tokens", "distinct"],
             )
 
-    asked = in_arrow(own.select("chunk", "train", "text").repartition(k, "chunk").sortWithinPartitions("chunk"), ask, "bucket int, chunk int, keys binary, n binary")
-    answers = stored(in_arrow(asked.repartition(k, "bucket").sortWithinPartitions("bucket"), answer, "bucket int, chunk int, counts binary, tokens long, distinct long"), "counts", compression="none")
+    asked = in_arrow(own.select("chunk", "train", "text").repartitionById(k, F.col("chunk") % k).sortWithinPartitions("chunk"), ask, "bucket int, chunk int, keys binary, n binary")
+    answers = stored(in_arrow(asked.repartitionById(k, F.col("bucket") % k).sortWithinPartitions("bucket"), answer, "bucket int, chunk int, counts binary, tokens long, distinct long"), "counts", compression="none")
     n, v = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     ends = own.where("train").count()
     n, v = n + ends, v + (ends > 0)
@@ -370,7 +377,7 @@ def scored(docs: DataFrame, train: str, order: int = ORDER, share: int = SHARE)
     kind = dict(own.dtypes)["doc_id"]
     texts = own.select("chunk", "doc_id", "train", "text", nothing("int", "bucket"), nothing("binary", "counts"))
     said = answers.select("chunk", nothing(kind, "doc_id"), nothing("boolean", "train"), nothing("string", "text"), "bucket", "counts")
-    return in_arrow(texts.unionAll(said).repartition(k, "chunk").sortWithinPartitions("chunk"), finish, f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return in_arrow(texts.unionAll(said).repartitionById(k, F.col("chunk") % k).sortWithinPartitions("chunk"), finish, f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:

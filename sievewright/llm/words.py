@@ -97,6 +97,14 @@ def words(values: pa.Array, member: np.ndarray, keys: bool = True, most: int = S
         yield _split(lo, hi, x, own, member, keys)
 
 
+def texts(values: pa.Array, most: int = SLICE) -> Iterator[Words]:
+    """The folded text of every row, some rows at a time, with no words."""
+    data, at = column(values)
+    none = np.zeros(0, np.int64)
+    for lo, hi in slices(at, most):
+        yield Words(lo, hi, FOLD[data[at[lo] : at[hi]]], at[lo : hi + 1] - at[lo], none, none, none, np.zeros(0, U))
+
+
 def _split(lo: int, hi: int, x: np.ndarray, own: np.ndarray, member: np.ndarray, keys: bool) -> Words:
     n = len(x)
     inside = np.zeros(n + 1, dtype=bool)
