@@ -28,7 +28,7 @@ from .shared import in_arrow, stored, whole, width
 from .words import mix
 
 U = np.uint64
-COSINE, TABLES, PROBES, STEP, HAMMING, BITS, SEED = 0.93, 10, 10, 0.7, 66, 256, 8
+COSINE, TABLES, PROBES, STEP, HAMMING, BITS, SEED, BLOCK = 0.93, 10, 10, 0.7, 66, 256, 8, 512
 
 
 def _roots() -> np.ndarray:
@@ -95,8 +95,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def pairs(classes: DataFrame, tables: int, probes: int, step: float, hamming: int) -> DataFrame:
-    """Pairs (a < b) of classes (cid, label, emb) that meet in a cell and whose sketches agree; each once."""
+def _projected(x: np.ndarray, dims: int, t: int, step: float) -> np.ndarray:
+    y = x @ _matrix(dims, t, 8)
+    return np.pad(y, ((0, 0), (0, 8 - y.shape[1]))) / step
+
+
+def pairs(classes: DataFrame, tables: int, probes: int, step: float, hamming: int, block: int) -> DataFrame:
+    """Pairs (a < b) of classes (cid, label, emb) that meet in a cell and whose sketches agree; each once. Cells where more
+    than ``block`` classes are stored are cut."""
     roots, n = _roots(), width(classes.sparkSession)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,8 +114,7 @@ def pairs(classes: DataFrame, tables: int, probes: int, step: float, hamming: in
                 sketch = np.packbits(x @ _matrix(d, -1 + 10_000, BITS) > 0, axis=1)
                 salt = mix(label[at] * U(1_000_003) + U(d))
                 for t in range(tables):
-                    y = x @ _matrix(d, t, 8)
-                    y = np.pad(y, ((0, 0), (0, 8 - y.shape[1]))) / step
+                    y = _projected(x, d, t, step)
                     own = nearest(y)
                     far = ((y - own)[:, None, :] - roots[None]) ** 2
                     near = np.argpartition(far.sum(2), probes, axis=1)[:, :probes]
@@ -136,10 +141,37 @@ def pairs(classes: DataFrame, tables: int, probes: int, step: float, hamming: in
                 if len(rest):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rest, cid[i])), pa.array(np.maximum(rest, cid[i]))], names=["a", "b"])
 
-    entries = in_arrow(classes.select("cid", F.xxhash64(F.col("label").cast("string")).alias("label"), "emb"), enter, "cell long, cid long, own boolean, sketch binary")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            label = b.column(1).to_numpy().astype(np.int64).astype(U)
+            for d, (at, x) in _vectors(b.column(2)).items():
+                salt = mix(label[at] * U(1_000_003) + U(d))
+                for t in range(tables):
+                    yield pa.RecordBatch.from_arrays([pa.array(_cell(nearest(_projected(_unit(x), d, t, step)), salt + U(t)))], names=["cell"])
+
+    told = classes.select("cid", F.xxhash64(F.col("label").cast("string")).alias("label"), "emb")
+    stands = in_arrow(told, count, "cell long").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    full = stored(stands.select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "full")
+    entries = in_arrow(told, "cell long, cid long, own boolean, sketch binary")
+    if not full.isEmpty():
+        entries = _cut(entries, full)
     return in_arrow(entries.repartition(n, "cell"), meet, "a long, b long").distinct()
 
 
+def _cut(entries: DataFrame, full: DataFrame) -> DataFrame:
+    """Entries of full cells go to parts (i, j) of their cell: what is stored in block i meets what comes in block j. So
+    a task holds two blocks of a cell, however full it is."""
+    rows = entries.join(full, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    part = lambda i, j, own: F.struct(i.alias("i"), j.alias("j"), F.lit(own).alias("own"))
+    comes = F.transform(every, lambda i: part(i, F.col("b"), False))
+    stays = F.concat(F.transform(every, lambda j: part(F.col("b"), j, True)), F.filter(comes, lambda p: p["i"] != F.col("b")))
+    rows = rows.select("cell", "cid", "sketch", "blocks", F.explode(F.when(F.col("own"), stays).otherwise(comes)).alias("p"))
+    cell = F.when(F.col("blocks") > 1, F.xxhash64("cell", "p.i", "p.j")).otherwise(F.col("cell"))
+    return rows.select(cell.alias("cell"), "cid", F.col("p.own").alias("own"), "sketch")
+
+
 def verified(pairs_: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
     """The pairs whose vectors reach the cosine, with both classes' copies."""
     own = classes.select("cid", "emb", "copies")
@@ -158,7 +190,7 @@ def verified(pairs_: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
 
 
 @whole
-def near(rows: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, step: float = STEP, hamming: int = HAMMING) -> DataFrame:
+def near(rows: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, step: float = STEP, hamming: int = HAMMING, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of (vec_id, embedding, label)."""
     finite = F.forall("emb", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf")))
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce((F.size("emb") > 0) & finite & F.exists("emb", lambda e: e != 0), F.lit(False))
@@ -167,7 +199,7 @@ def near(rows: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes:
     named = F.when(F.col("good"), packed)
     classes = base.where("good").groupBy("label", "emb").agg(F.min("vec_id").alias("cid"), F.count(F.lit(1)).alias("copies"))
     classes = stored(classes, "classes")
-    links = stored(verified(pairs(classes, tables, probes, step, hamming), classes, cosine), "links")
+    links = stored(verified(pairs(classes, tables, probes, step, hamming, block), classes, cosine), "links")
     # a pair of classes links every copy of one with every copy of the other; copies of a class link with each other
     both = links.select(F.col("a").alias("cid"), F.col("nb").alias("n")).unionAll(links.select(F.col("b").alias("cid"), F.col("na").alias("n")))
     degree = both.groupBy("cid").agg(F.sum("n").alias("others"))

@@ -349,12 +349,14 @@ def test_chat_round_trip(spark):
     assert (got[1].n_turns, got[1].loss_chars, got[2].loss_chars, got[None].n_turns) == (3, len(odd) + 1, 0, 1)
 
 
-def test_vectors_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [512, 2])
+def test_vectors_equal_brute_force(spark, block):
+    rng = np.random.default_rng(5)
     center = rng.standard_normal((20, 64))
     v = np.repeat(center, 8, axis=0) + rng.standard_normal((160, 64)) * 0.25
     v[5] = v[4]
     rows = [(i, x.tolist(), int(i % 3 == 0)) for i, x in enumerate(v)] + [(900, None, 1), (901, [0.0] * 64, 1), (902, [float("nan")] * 64, 0), (903, v[4].tolist(), None), (None, v[4].tolist(), 0)]
-    got = {r.vec_id: r for r in vectors.near(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    got = {r.vec_id: r for r in vectors.near(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), block=block).collect()}
     f = v.astype(np.float32).astype(float)
     f /= np.linalg.norm(f, axis=1, keepdims=True)
     label = np.arange(160) % 3 == 0
