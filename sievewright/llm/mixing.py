@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import in_arrow, running, stored, whole, width
+from .shared import in_arrow, in_pandas, modest_batches, running, stored, whole, width
 
 BLOCK, SLOTS, MOST, WEIGHTS, SEED = 64, 2048, 3, (5, 2, 1), 20_26
 
@@ -89,7 +89,7 @@ class Plan:
 def planned(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, weights=WEIGHTS, most: float = MOST, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(rows, draws): rows has doc_id, key, size, src, ord, source_size, target and first (words of the source before);
     draws has shard, slot, src, block, round."""
-    spark = docs.sparkSession
+    spark = modest_batches(docs.sparkSession)
     narrow = stored(docs.select("doc_id", "source", n_words().alias("size"), _key().alias("key")), "sizes")
     totals = narrow.groupBy("source").agg(F.sum("size").alias("n")).collect()
     plan = Plan([r.source for r in totals], [r.n for r in totals], weights, block, most)
@@ -107,9 +107,9 @@ def planned(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, weights=WEI
             for shard in b["id"]:
                 n = np.random.default_rng([seed, int(shard)]).multinomial(min(slots, whole - shard * slots), share)
                 some = np.flatnonzero(n)
-                yield pd.DataFrame({"shard": shard, "src": some.astype(np.int32), "n": n[some], "at": (np.cumsum(n) - n)[some]})
+                yield pd.DataFrame({"shard": np.full(len(some), shard), "src": some.astype(np.int32), "n": n[some], "at": (np.cumsum(n) - n)[some]})
 
-    drawn = stored(spark.range(shards).mapInPandas(draw, "shard long, src int, n long, at long"), "draws")
+    drawn = stored(in_pandas(spark.range(shards), draw, "shard long, src int, n long, at long"), "draws")
     got = np.zeros(len(take), np.int64)
     for r in drawn.groupBy("src").agg(F.sum("n").alias("n")).collect():
         got[r.src] = r.n
@@ -136,7 +136,7 @@ def planned(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, weights=WEI
             yield pd.DataFrame({"shard": b["shard"].to_numpy()[row], "slot": b["at"].to_numpy()[row] + step, "src": src.astype(np.int32), "block": at, "round": (k // blocks[src]).astype(np.int32)})
 
     # a row here is many slots there, so rows are dealt by number, not by size
-    draws = running(drawn, ["src"], [F.col("shard")], F.col("n")).repartition(width(spark), "shard", "src").mapInPandas(place, "shard long, slot long, src int, block long, round int")
+    draws = in_pandas(running(drawn, ["src"], [F.col("shard")], F.col("n")).repartition(width(spark), "shard", "src"), place, "shard long, slot long, src int, block long, round int")
     return rows, draws
 
 

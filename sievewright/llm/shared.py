@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -101,6 +102,16 @@ def in_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+def in_pandas(df: DataFrame, work: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """in_arrow by pandas frames, whose columns must have the schema's types and order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in work(b.to_pandas() for b in batches):
+            yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
+
+    return in_arrow(df, run, schema)
+
+
 def width(spark: SparkSession) -> int:
     """Shuffle partitions, the session's own measure of how large the data are."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

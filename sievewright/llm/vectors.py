@@ -152,7 +152,7 @@ def pairs(classes: DataFrame, tables: int, probes: int, step: float, hamming: in
     told = classes.select("cid", F.xxhash64(F.col("label").cast("string")).alias("label"), "emb")
     stands = in_arrow(told, count, "cell long").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
     full = stored(stands.select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "full")
-    entries = in_arrow(told, "cell long, cid long, own boolean, sketch binary")
+    entries = in_arrow(told, enter, "cell long, cid long, own boolean, sketch binary")
     if not full.isEmpty():
         entries = _cut(entries, full)
     return in_arrow(entries.repartition(n, "cell"), meet, "a long, b long").distinct()
