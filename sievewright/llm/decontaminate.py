@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import discard, in_arrow, stored
+from .shared import apart, back, discard, in_arrow, stored
 
 WINDOW, BLOCK_WORDS, BITS = 10, 400_000, 24
 HITS = "n_words long, hits array<long>, items array<string>"
@@ -191,8 +191,7 @@ def _empty(size: int) -> Block:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
     """The documents, with their own columns, in which no window of the benchmark occurs."""
-    found = contamination(docs.withColumn("_row", F.struct(*docs.columns)).select("_row", "text"), benchmark, **options)
-    return found.where(F.size("hits") == 0).select("_row.*")
+    return back(contamination(apart(docs), benchmark, **options).where(F.size("hits") == 0), docs.columns)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .graph import components
-from .shared import discard, in_arrow, maybe_among, stored, width
+from .shared import apart, back, discard, in_arrow, maybe_among, stored, width
 
 U = np.uint64
 N, PERCENT, BLOCK, DEALS = 4, 85, 1000, 2
@@ -357,6 +357,7 @@ def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     """One row, with its own columns, of each component: of smallest doc_id, then of smallest set name and text hash. Every
     row with a null doc_id stays, as do empty texts; of rows equal in doc_id and text one stays. Only rows whose id may
     be among those that go, or are repeated, are shuffled."""
+    whole, docs = docs.columns, apart(docs, "doc_id")
     rows, classes = linked(docs, n, percent)
     each = rows.where("doc_id is not null").groupBy("doc_id", "txt", "name").agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("n_shingles"))
     each = stored(each.join(classes.select("name", "comp"), "name", "left"), "each")
@@ -369,7 +370,8 @@ def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     own = F.struct(*(F.col(c) for c in names))
     rest = marked.where("_maybe").groupBy(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_txt")).agg(F.min_by(own, F.xxhash64(*names)).alias("_row"))
     goes = odd.where("not stays").select(F.col("doc_id").alias("_id"), F.col("txt").alias("_txt"))
-    return marked.where("not _maybe").select(*names).unionByName(rest.join(goes, ["_id", "_txt"], "left_anti").select("_row.*"))
+    kept = marked.where("not _maybe").select(*names).unionByName(rest.join(goes, ["_id", "_txt"], "left_anti").select("_row.*"))
+    return back(kept, whole, "doc_id")
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import in_arrow
+from .shared import apart, back, in_arrow
 
 SAMPLE, LONGEST, SEEN, TEMPER = 4_000, 4, 2, 20
 RUNS = regex.compile(r"\p{L}+")
@@ -156,8 +156,8 @@ def digest(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 def accepted(docs: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
     """The documents, with their own columns, of which a language could be told."""
     model = train(docs, fold("doc_id", 5) != 0, sample)
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    return predict(packed, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_row.*")
+    kept = predict(apart(docs), model).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return back(kept, docs.columns)
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

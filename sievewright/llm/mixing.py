@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import in_arrow, in_pandas, modest_batches, running, stored, whole, width
+from .shared import apart, back, in_arrow, in_pandas, modest_batches, running, stored, whole, width
 
 BLOCK, SLOTS, MOST, WEIGHTS, SEED = 64, 2048, 3, (5, 2, 1), 20_26
 
@@ -160,6 +160,7 @@ def digest(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix as documents: one row for each time (1 to ``most``) any of a document's words are taken, holding the words
     taken so often: the whole text where all are, else its taken passages joined by line feeds."""
+    whole_, docs = docs.columns, apart(docs, "doc_id", "source", "n_chars")
     names = docs.columns
     rows, draws = planned(docs)
     plan = pieces(rows, draws).groupBy("src", "ord").agg(F.array_sort(F.collect_list(F.struct("from", "n", "times"))).alias("_plan"))
@@ -200,7 +201,7 @@ def mixed(docs: DataFrame) -> DataFrame:
                     new["n_chars"] = pa.array([len(t) for t in texts]).cast(b.schema.field("n_chars").type)
                 yield pa.RecordBatch.from_arrays([new.get(c, out.column(c)) for c in names], names=names)
 
-    return in_arrow(joined, run, docs.schema)
+    return back(in_arrow(joined, run, docs.schema), whole_, "doc_id", "source", "n_chars")
 
 
 def op5_source_mix(spark, sf_dir: str) -> DataFrame:

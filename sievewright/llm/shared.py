@@ -112,6 +112,15 @@ def in_pandas(df: DataFrame, work: Callable[[Iterator[pd.DataFrame]], Iterator[p
     return in_arrow(df, run, schema)
 
 
+def apart(docs: DataFrame, *named: str) -> DataFrame:
+    """The columns under names that no operator uses, but for text and those named; ``back`` restores them."""
+    return docs.select(*(F.col(f"`{c}`").alias(c if c in ("text", *named) else f"_own{i}") for i, c in enumerate(docs.columns)))
+
+
+def back(kept: DataFrame, names: list[str], *named: str) -> DataFrame:
+    return kept.select(*(F.col(c if c in ("text", *named) else f"_own{i}").alias(c) for i, c in enumerate(names)))
+
+
 def width(spark: SparkSession) -> int:
     """Shuffle partitions, the session's own measure of how large the data are."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -297,6 +297,17 @@ def test_language_sample_is_dealt_over_languages(spark):
     assert got.count("xx") == 20 and 20 <= got.count("en") <= 90
 
 
+def test_stages_keep_columns_whose_names_clash(spark, docs):
+    """Full and empty tables, with columns named like an operator's own; a column of another kind comes through."""
+    clash = docs.select("*", F.lit(7).alias("n_words"), F.lit("x").alias("items"), F.lit(1.5).alias("lang_pred"), F.array(F.lit(1)).alias("_row"), F.lit(True).alias("_maybe"), F.lit(2).alias("size"), F.lit(3).alias("name"))
+    items = spark.createDataFrame([(1, "no such words at all")], "item_id long, text string")
+    for kept in (langid.accepted(clash, least=0.0), jaccard.representatives(clash), decontaminate.clean(clash, items), mixing.mixed(clash)):
+        assert kept.columns == clash.columns
+        assert all((r.n_words, r["items"], r.lang_pred, list(r._row), r._maybe, r.size, r["name"]) == (7, "x", 1.5, [1], True, 2, 3) for r in kept.collect())
+    for judged in (mixing.digest(clash), sharding.sharded(clash), langid.digest(clash), jaccard.joined(clash)):
+        assert judged.count() == docs.count()
+
+
 @pytest.mark.parametrize("block_words", [400_000, 12])
 def test_decontamination_equals_brute_force(spark, rows, block_words):
     items = [(1, " ".join(rows[5][1].split()[20:45])), (2, "ÄÖ ß"), (10, None), (None, rows[4][1]), (3, "zz"), (3, rows[3][1])]
