@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import apart, back, in_arrow
+from .shared import apart, back, held, in_arrow
 
 SAMPLE, LONGEST, SEEN, TEMPER = 4_000, 4, 2, 20
 RUNS = regex.compile(r"\p{L}+")
@@ -106,21 +106,15 @@ def train(docs: DataFrame, chosen: Column, sample: int = SAMPLE) -> Model:
     return Model((lang, text) for lang, text in sampled(docs, chosen, sample).toLocalIterator())
 
 
-_caches: dict[str, Cache] = {}
-
-
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    token = uuid.uuid4().hex  # workers outlive a model, so its cache goes by a name no other has
+    token = f"langid-{uuid.uuid4().hex}"  # workers outlive a model, so its cache goes by a name no other has
     docs = docs.drop("lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        if token not in _caches:
-            _caches.clear()
-            _caches[token] = Cache(own)
-        cache, langs = _caches[token], own.langs
+        cache, langs = held(token, lambda: Cache(own)), own.langs
         for b in batches:
             names, scores = [], []
             for value in b.column(b.schema.get_field_index(text)):
@@ -139,7 +133,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return in_arrow(docs, run, schema)
+    return in_arrow(docs, run, schema, token)
 
 
 def fold(doc_id: str | Column, parts: int) -> Column:

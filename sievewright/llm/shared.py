@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import re
 import tempfile
 import uuid
@@ -87,17 +88,42 @@ def modest_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def in_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with modest batches, whose workers, which Spark keeps for later tasks, give freed memory back when a task
-    ends."""
+#: What this worker keeps for later tasks of the same operator, by name.
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    if name not in _held:
+        _held[name] = make()
+    return _held[name]
+
+
+def only(keeps: str) -> None:
+    """Lets go of all that is held under other names. A function of the module, as is ``held``, so that both mean the
+    worker's own table and not a copy sent with a task."""
+    if others := [name for name in _held if name != keeps]:
+        for name in others:
+            del _held[name]
+        gc.collect()
+        _given_back()
+
+
+def _given_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def in_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keeps: str = "") -> DataFrame:
+    """mapInArrow with modest batches. Spark keeps workers for later tasks, of other operators too: when a task begins, what
+    is ``held`` under another name than ``keeps`` goes, and when it ends, freed memory is given back."""
     modest_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(keeps)
         yield from work(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        _given_back()
 
     return df.mapInArrow(run, schema)
 

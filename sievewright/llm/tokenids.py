@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import in_arrow, stored, width
+from .shared import held, in_arrow, stored, width
 from .words import column
 
 U = np.uint64
@@ -149,16 +149,11 @@ class Coder(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-_coders: dict[str, Coder] = {}
-
-
 def coder(vocabulary: str) -> Coder:
     """vocabulary: a file of that name among the public tokenizers each executor has, or a path."""
-    if vocabulary not in _coders:
-        import public_tokenizers
+    import public_tokenizers
 
-        _coders[vocabulary] = Coder(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary))
-    return _coders[vocabulary]
+    return held(f"coder-{vocabulary}", lambda: Coder(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)))
 
 
 def written(docs: DataFrame, vocabulary: str, end: int = 1, chunk: int = CHUNK, n: int | None = None) -> DataFrame:
@@ -195,7 +190,7 @@ def written(docs: DataFrame, vocabulary: str, end: int = 1, chunk: int = CHUNK,
             yield row()
 
     dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n or width(docs.sparkSession), "doc_id", F.xxhash64("text"))
-    return stored(in_arrow(dealt.sortWithinPartitions("doc_id", "text"), run, SHARDS), "simple8b", compression="none")
+    return stored(in_arrow(dealt.sortWithinPartitions("doc_id", "text"), run, SHARDS, f"coder-{vocabulary}"), "simple8b", compression="none")
 
 
 def read(shards: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from sievewright.llm import chat, decontaminate, graph, jaccard, langid, lm, mixing, sharding, tokenids, urls, vectors
+from sievewright.llm import chat, decontaminate, graph, jaccard, langid, lm, mixing, shared, sharding, tokenids, urls, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, hits string, score string"
 rng = np.random.default_rng(5)
@@ -84,6 +85,18 @@ def test_components_in_one_task_or_by_rounds(spark, monkeypatch, local):
     assert sorted(map(tuple, got)) == sorted((x, root[x]) for x in nodes)
 
 
+def test_workers_hold_one_operators_cache(spark):
+    def job(name, keeps):
+        def work(batches):
+            for b in batches:
+                shared.held(name, object)
+                yield pa.RecordBatch.from_arrays([pa.array([",".join(sorted(shared._held))])], names=["names"])
+
+        return {r.names for r in shared.in_arrow(spark.range(0, 8, 1, 2), work, "names string", keeps).collect()}
+
+    assert job("a", "a") == job("a", "a") == {"a"} and job("b", "b") == {"b"} and job("c", "") == {"c"}
+
+
 def test_empty_tables_give_no_rows(spark):
     none = spark.createDataFrame([], DOCS)
     for df in (jaccard.joined(none), langid.digest(none), tokenids.read(tokenids.written(none, "word_bpe_49k.json")), mixing.digest(none), sharding.sharded(none)):
