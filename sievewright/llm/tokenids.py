@@ -32,6 +32,7 @@ U = np.uint64
 COUNT = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
 WIDTH = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60])
 ESCAPE, BLOCK, RANKS, CHUNK = 15, 240, 65_535, 1 << 20
+DENSE = 1 << 20
 SHARDS = "shard int, chunk int, before long, doc_id array<long>, n_tokens array<long>, table binary, offsets binary, payload binary"
 
 
@@ -40,10 +41,16 @@ def pack(ids: np.ndarray, ranks: int = RANKS) -> tuple[np.ndarray, np.ndarray, n
     n = len(ids)
     if not n:
         return np.zeros(0, "<u4"), np.zeros(0, "<u4"), np.zeros(0, "<u8")
-    known, at, seen = np.unique(ids, return_inverse=True, return_counts=True)
+    if ids.max() < DENSE:  # a table by id instead of a sort
+        at, seen = ids, np.bincount(ids)
+        place = known = np.flatnonzero(seen)
+        seen = seen[known]
+    else:
+        known, at, seen = np.unique(ids, return_inverse=True, return_counts=True)
+        place = np.arange(len(known))
     by = np.lexsort((known, -seen))[:ranks]
-    rank = np.full(len(known), -1)
-    rank[by] = np.arange(len(by))
+    rank = np.full(int(place[-1]) + 1, -1, np.int32)
+    rank[place[by]] = np.arange(len(by), dtype=np.int32)
     code = rank[at]
     raw = code < 0
     bits = np.zeros(n + 64, np.uint8)
@@ -126,10 +133,13 @@ class Coder(dict):
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in plain]
         self.byte = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+        self.four = [i.to_bytes(4, "little") for i in range(1 + max(self.whole.get_vocab().values()))]
 
     def __missing__(self, run: bytes) -> bytes:
-        text = run.decode("utf-8", "replace")
-        if _PLAIN.fullmatch(text) and not _SPECIAL.search(text):
+        if run.isalpha():  # ASCII letters are one piece
+            piece = run.lower().decode()
+            out = self.pieces.get(piece) or self.piece(piece)
+        elif _PLAIN.fullmatch(text := run.decode("utf-8", "replace")) and not (b"<|" in run and _SPECIAL.search(text)):
             out = b"".join([self.pieces.get(p) or self.piece(p) for p in _PIECE.findall(text.lower())])
         else:
             out = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -137,7 +147,8 @@ class Coder(dict):
         return out
 
     def piece(self, piece: str) -> bytes:
-        out = np.array([t.id for t in self.model.tokenize("".join([self.byte[b] for b in piece.encode()]))], "<u4").tobytes()
+        spelled = piece if piece.isascii() else "".join([self.byte[b] for b in piece.encode()])
+        out = b"".join([self.four[t.id] for t in self.model.tokenize(spelled)])
         self.pieces[piece] = out
         return out
 

@@ -127,6 +127,13 @@ def test_simple8b_round_trip(ranks):
         assert (tokenids.unpack(table, payload) == ids).all()
 
 
+def test_simple8b_counts_and_sorts_give_one_form(monkeypatch):
+    ids = (rng.zipf(1.2, 5000) % 50_000).astype(np.uint32)
+    counted = tokenids.pack(ids, 300)
+    monkeypatch.setattr(tokenids, "DENSE", 0)
+    assert all((x == y).all() for x, y in zip(counted, tokenids.pack(ids, 300), strict=True))
+
+
 def test_sharding_is_even_and_keeps_equal_texts(spark, rows):
     got = sharding.sharded(spark.createDataFrame(rows, DOCS), shards=3).collect()
     assert len(got) == len(rows)
