@@ -26,7 +26,10 @@ def query(sql: str | None = None):
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
-    return C.corpus(spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("id")))
+    """Customers are few bytes and may lie in one row group, which one task would read; ids are dealt out before they
+    become files."""
+    ids = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("id"))
+    return C.corpus(ids.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), "id"))
 
 
 def migrated(spark: SparkSession, d: str) -> M.Migration:

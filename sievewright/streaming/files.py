@@ -22,5 +22,5 @@ def arriving(spark: SparkSession, root: str, pattern: str = "*.py") -> DataFrame
 def settle_arriving(spark: SparkSession, root: str, target: str, checkpoint: str) -> StreamingQuery:
     """Runs the mechanical pass over all files that have arrived since the last call, each exactly once, appends its rows
     to the table at target and ends. Stateless: what is kept between calls is the checkpoint's list of files seen."""
-    rows = syntax.codemod(arriving(spark, root))
+    rows = syntax.codemod(arriving(spark, root)).drop("found")
     return rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 from sievewright.operators import syntax
 
 SOURCE = '''"""requests.get in a docstring"""
@@ -26,3 +27,17 @@ def test_broken_files_pass_through(spark):
     got = {r.path: r for r in syntax.codemod(files).collect()}
     assert got["a.py"].error == "SyntaxError" and got["a.py"].text == "def" and got["b.py"].n_resolved == 2 and got["c.py"].text == "x = 1\n"
     assert syntax.findings(files).count() == 3
+
+
+def test_a_table_of_one_row_group_is_scanned_by_many_tasks(spark):
+    from sievewright.plans import sources
+
+    spread = sources.files(spark, "/root/testdata/sf0.001").withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(spread) > 8 and max(r["count"] for r in spread) < 40
+
+
+def test_memory_keeps_what_was_used_last_within_its_room():
+    asked = []
+    memory = syntax.Memory(lambda text: asked.append(text) or text.upper(), 230)
+    assert [memory(x) for x in ["a", "b", "a", "c", "a", "b"]] == ["A", "B", "A", "C", "A", "B"]
+    assert asked == ["a", "b", "c", "b"] and len(memory.held) == 2 and memory("z" * 500) == "Z" * 500 and not memory.held and memory.used == 0
