@@ -41,3 +41,19 @@ def test_memory_keeps_what_was_used_last_within_its_room():
     memory = syntax.Memory(lambda text: asked.append(text) or text.upper(), 230)
     assert [memory(x) for x in ["a", "b", "a", "c", "a", "b"]] == ["A", "B", "A", "C", "A", "B"]
     assert asked == ["a", "b", "c", "b"] and len(memory.held) == 2 and memory("z" * 500) == "Z" * 500 and not memory.held and memory.used == 0
+
+
+def test_equal_texts_of_a_batch_are_parsed_once_and_all_get_their_rows(spark, tmp_path):
+    from sievewright.operators.syntax import codemod
+
+    texts = [SOURCE, None, "def", "", SOURCE.replace("timeout=3", "json=3")] * 400
+    rows = spark.createDataFrame([(f"{i}.py", t) for i, t in enumerate(texts)], "path string, text string").coalesce(1)
+    got = {r.path: r for r in codemod(rows).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        new, found, error = syntax.settled(text or "")
+        r = got[f"{i}.py"]
+        assert (r.original, r.text, r.error, len(r.found), r.n_resolved) == (text, new, error, len(found), sum(f["resolved"] for f in found))
+        assert r.failures == (syntax.checked(new)[0] if found else [])
+    open_ = {r.path: (r.text, r.n_resolved, r.n_unresolved, r.failures) for r in codemod(rows.limit(5), deterministic=False).collect()}
+    assert open_["0.py"] == (SOURCE, 0, 2, ["residual reference", "line 5: allow_redirects"])
