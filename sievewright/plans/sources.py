@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import answers, syntax
 from ..sources import corpus as C
+from ..sources.files import kept
 from . import migrate as M
 from . import prompts
 
@@ -134,8 +135,8 @@ _HUNKS = f"""{_FILES}, ls AS (SELECT path, unnest(string_split(left(mechanical,
 
 @query(_HUNKS + f" SELECT path, first, last, sites, enclosing, token_cost, token_cost > {M.OVERSIZED} AS oversized FROM hunks")
 def source_hunks(spark, d):
-    done = syntax.codemod(files(spark, d))
-    rows = M.hunks(syntax.findings(done.select("path", F.col("original").alias("text"))), done)
+    done = kept(syntax.codemod(files(spark, d)).where("n_unresolved > 0").select("path", "text", "found", "error"), "scanned")
+    rows = M.hunks(syntax.sites(done), done)
     return rows.select("path", F.col("start").cast("long").alias("first"), F.col("end").cast("long").alias("last"), F.size("site_lines").cast("long").alias("sites"), "enclosing", "token_cost", "oversized")
 
 

@@ -57,3 +57,10 @@ def test_equal_texts_of_a_batch_are_parsed_once_and_all_get_their_rows(spark, tm
         assert r.failures == (syntax.checked(new)[0] if found else [])
     open_ = {r.path: (r.text, r.n_resolved, r.n_unresolved, r.failures) for r in codemod(rows.limit(5), deterministic=False).collect()}
     assert open_["0.py"] == (SOURCE, 0, 2, ["residual reference", "line 5: allow_redirects"])
+
+
+def test_source_hunks_scans_each_file_once(spark):
+    from sievewright.plans import sources
+
+    plan = sources.source_hunks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapIn" not in plan and "scanned-" in sources.source_hunks(spark, "/root/testdata/sf0.001").inputFiles()[0]
