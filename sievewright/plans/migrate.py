@@ -38,7 +38,7 @@ class Levers:
 @dataclass
 class Migration:
     output: DataFrame  # path, text, changed, errors, failures, warnings
-    codemod: DataFrame  # path, original, text, n_resolved, n_unresolved, error
+    codemod: DataFrame  # path, original, text, n_resolved, n_unresolved, error, found
     hunks: DataFrame
     clusters: DataFrame  # fingerprint, shapes, size, body, examples, token_cost
     members: DataFrame  # fingerprint, path, start, site_lines
@@ -159,11 +159,11 @@ def replayed(files: DataFrame, members: DataFrame, answers: DataFrame) -> DataFr
 def migrate(files: DataFrame, model: A.Model, strong: A.Model | None = None, attempts: int = 1, levers: Levers = Levers()) -> Migration:
     """files (path, text), paths unique. With a strong model, clusters that have a member in an unverified file are asked
     again, at most ``attempts`` times; new answers replace old ones and all rules run anew on the mechanical result."""
-    base = kept(syntax.codemod(files, levers.deterministic).select("path", "original", "text", "n_resolved", "n_unresolved", "error"), "codemod")
+    base = kept(syntax.codemod(files, levers.deterministic).select("path", "original", "text", "n_resolved", "n_unresolved", "error", "found"), "codemod")
     texts = base.withColumn("n_found", F.col("n_resolved") + F.col("n_unresolved"))
-    found = syntax.findings(base.select("path", F.col("original").alias("text")))
+    found = syntax.sites(base)
     found = found if levers.deterministic else found.withColumn("resolved", F.col("error").isNotNull())
-    rows = kept(hunks(found, texts, levers.windowing), "hunks")
+    rows = kept(hunks(found, texts.where("n_unresolved > 0"), levers.windowing), "hunks")
     clusters, members = (kept(x, n) for x, n in zip(clustered(rows, levers), ("clusters", "members"), strict=True))
     answers, usage, told = ask(clusters, model, "cheap", 0, levers.packing)
     declined = answers.where(F.coalesce("escalate", F.lit("")) != "").count()

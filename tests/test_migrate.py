@@ -190,3 +190,17 @@ def test_escalation_recovers_from_a_model_that_says_nothing(spark):
     good = migrate.migrate(files_, answers.Scripted([]), answers.Planner())
     row = migrate.report(good).first()
     assert row.unverified == 0 and row.escalations == row.clusters and good.usage.where("model = 'strong'").count() >= 1
+
+
+def test_equal_files_with_equal_work_are_rewritten_once_and_others_apart(spark):
+    text = "import requests\n\n\ndef f(u):\n    return requests.get(u)\n"
+    rows = [(f"{i}.py", text, text, 1) for i in range(60)] + [("null.py", None, None, 0), ("broken.py", "def", "def", 0), ("odd.py", "x = 1\n", "x = 2\n", 0)]
+    work = [(f"{i}.py", 1, [5], [("set_timeout", {"value": str(i % 3)})]) for i in range(40)] + [("40.py", 1, [5], [("set_timeout", {"value": "soon"})]), ("40.py", 2, [5], [("set_timeout", {"value": "7"})])]
+    shape = "path string, batch_ord int, lines array<int>, rules array<struct<action:string,params:map<string,string>>>"
+    out = rules.migrated(spark.createDataFrame(rows, "path string, text string, original string, n_found int").coalesce(1), spark.createDataFrame(work, shape))
+    got = {r.path: r for r in out.collect()}
+    assert len(got) == 63 and all(got[f"{i}.py"].text == text.replace("requests", "httpx").replace("get(u)", f"get(u, timeout={i % 3})") for i in range(40))
+    assert "timeout=7" in got["40.py"].text and len(got["40.py"].errors) == 1 and got["41.py"].text == text and got["41.py"].failures == ["residual reference"]
+    assert (got["null.py"].text, got["null.py"].changed, got["broken.py"].failures, got["odd.py"].changed) == ("", False, [], True)
+    before = len(rules._outcomes.held)
+    assert rules.outcome(text, text, 1, None) is rules.outcome(text, text, 1, None) and len(rules._outcomes.held) == before + 1
