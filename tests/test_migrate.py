@@ -204,3 +204,10 @@ def test_equal_files_with_equal_work_are_rewritten_once_and_others_apart(spark):
     assert (got["null.py"].text, got["null.py"].changed, got["broken.py"].failures, got["odd.py"].changed) == ("", False, [], True)
     before = len(rules._outcomes.held)
     assert rules.outcome(text, text, 1, None) is rules.outcome(text, text, 1, None) and len(rules._outcomes.held) == before + 1
+
+
+def test_the_migration_scans_its_files_once(spark, monkeypatch):
+    scans, scan = [], syntax._scanned
+    monkeypatch.setattr(syntax, "_scanned", lambda *a: scans.append(a) or scan(*a))
+    found = migrate.migrate(corpus(spark), answers.Planner())
+    assert len(scans) == 1 and found.rules().count() == 2
