@@ -35,6 +35,11 @@ def fingerprint(shapes: Column, signature: Column) -> Column:
     return F.substring(F.md5(F.array_join(F.concat(*(F.array_sort(F.array_distinct(x)) for x in (shapes, signature))), "|")), 1, 12)
 
 
+def named(*columns: str) -> Column:
+    """What equal values have in common and others have not: SHA-256 of each column, null apart from the empty text."""
+    return F.concat_ws("|", *(F.coalesce(F.sha2(F.col(c).cast("string"), 256), F.lit("-")) for c in columns))
+
+
 def function_kind(name: Column) -> Column:
     """module, batch or interactive, from the innermost function's name."""
     return F.when(name.isNull(), "module").when(name.rlike("|".join(BATCH_NAMES)), "batch").otherwise("interactive")

@@ -32,10 +32,14 @@ def sharded(members: DataFrame, by: str, order: Sequence[str], limit: int) -> Da
     return members.withColumn("shard", F.when(size > limit, F.concat(F.col(by), F.lit("-"), F.floor(row / limit).cast("string"))).otherwise(F.col(by)))
 
 
+#: Items that a fold takes at a time.
+FOLDED = 128
+
+
 def packed(items: DataFrame, by: Sequence[str], order: str, cost: str, budget: int, most: int) -> DataFrame:
     """Greedy packing inside each group: (by, request, items as an ordered array, payload). A request closes when it has
     ``most`` items or the next would pass the budget; an item above the budget travels alone, none is dropped.
-    The fold holds one group's (order, cost) pairs, so ``by`` must bound a group."""
+    The fold holds one group's (order, cost) pairs, so ``by`` must bound a group; a step copies at most FOLDED of them."""
     kind = items.select(order).schema[0].dataType.simpleString()
     kind = "bigint" if kind in ("int", "smallint", "tinyint") else kind
     zero = F.expr(f"cast(array() as array<struct<request:bigint,n:bigint,payload:bigint,o:{kind}>>)")
@@ -51,7 +55,13 @@ def packed(items: DataFrame, by: Sequence[str], order: str, cost: str, budget: i
             item["o"].alias("o"),
         )))
 
-    folded = items.groupBy(*by).agg(F.aggregate(F.array_sort(F.collect_list(F.struct(F.col(order).cast(kind).alias("o"), F.col(cost).cast("bigint").alias("c")))), zero, step).alias("_f"))
+    def chunk(done: Column, of: Column) -> Column:
+        last = F.slice(F.coalesce(F.try_element_at(done, F.lit(-1)), zero), -1, 1)
+        return F.concat(done, F.array(F.slice(F.aggregate(of, last, step), F.size(last) + 1, F.size(of))))
+
+    sorted_ = F.array_sort(F.collect_list(F.struct(F.col(order).cast(kind).alias("o"), F.col(cost).cast("bigint").alias("c"))))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("_s") - 1) / FOLDED).cast("int")), lambda i: F.slice("_s", i * FOLDED + 1, FOLDED))
+    folded = items.groupBy(*by).agg(sorted_.alias("_s")).select(*by, F.flatten(F.aggregate(cut, F.array(zero), chunk)).alias("_f"))
     rows = folded.select(*by, F.explode("_f").alias("f"))
     return rows.groupBy(*by, F.col("f.request").alias("request")).agg(F.array_sort(F.collect_list("f.o")).alias("items"), F.max("f.payload").alias("payload"))
 

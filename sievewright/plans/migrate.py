@@ -1,10 +1,12 @@
 """The migration: settle what is mechanical, ask a model once a cluster, replay its rules everywhere, verify, ask
-again about what failed. One DAG a stage; every stage's result is a table in the shared folder."""
+again about what failed. One DAG a stage; every stage's result is a table in the shared folder. What depends on a text
+alone is found once for equal texts and told to all files that hold it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,17 +39,31 @@ class Levers:
 
 @dataclass
 class Migration:
-    output: DataFrame  # path, text, changed, errors, failures, warnings
-    codemod: DataFrame  # path, original, text, n_resolved, n_unresolved, error, found
+    codemod: DataFrame  # path, key (of the original), original, text, n_resolved, n_unresolved, error, found
     hunks: DataFrame
     clusters: DataFrame  # fingerprint, shapes, size, body, examples, token_cost
     members: DataFrame  # fingerprint, path, start, site_lines
     answers: DataFrame
     usage: DataFrame  # request_id, attempt, model, input_tokens, output_tokens, prefix_cached_tokens
-    warnings: DataFrame  # stage, path, warning
+    told: list[DataFrame]  # warnings of all stages before the replay
     declined: int
     escalations: int
     rounds: int
+    final: bool  # no model is left to ask
+    replay: Callable[[], DataFrame]
+
+    @cached_property
+    def output(self) -> DataFrame:
+        """path, text, changed, errors, failures, warnings of every file; made when first asked for."""
+        return self.replay()
+
+    @cached_property
+    def warnings(self) -> DataFrame:
+        """stage, path, warning."""
+        rows = [*self.told, _warned(self.output.select("path", F.explode("errors").alias("e")), "apply", F.col("e"))]
+        if self.final:
+            rows.append(_warned(self.unverified(), "escalate", F.lit("unverified, and there is no model left to ask")))
+        return reduce(DataFrame.unionByName, rows)
 
     def unverified(self) -> DataFrame:
         return self.output.where(F.size("failures") > 0).select("path", "failures")
@@ -58,10 +74,25 @@ class Migration:
         return self.answers.where(F.coalesce("escalate", F.lit("")) == "").select("fingerprint", told.alias("rules")).orderBy("fingerprint")
 
 
+def _warned(rows: DataFrame, stage: str, text: Column) -> DataFrame:
+    return rows.select(F.lit(stage).alias("stage"), "path", text.alias("warning"))
+
+
 def hunks(findings: DataFrame, files: DataFrame, windowing: bool = True) -> DataFrame:
     """(path, start, end, shapes, reasons, signature, site_lines, enclosing, code, token_cost, oversized): open sites that
     lie together in one function. The line that defines the function is shown where the window holds no definition.
     Without windowing a file is one hunk, never oversized."""
+    return coded(windows(findings, files, windowing))
+
+
+def coded(rows: DataFrame) -> DataFrame:
+    """windows() with their code, headed by path and lines, in place of what is shown of their text."""
+    head = F.concat(F.lit("--- "), "path", F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"))
+    return rows.withColumn("code", F.concat_ws("\n", head, "shown")).drop("shown")
+
+
+def windows(findings: DataFrame, files: DataFrame, windowing: bool) -> DataFrame:
+    """hunks() without code but with ``shown``, which like the rest depends on the file's text alone."""
     total = files.select("path", F.size(T.source_lines(F.col("text"))).alias("total"))
     spans = findings.where("not resolved").join(total, "path")
     cut = (F.greatest(F.lit(1), F.col("line") - CONTEXT), F.least("total", F.col("end_line") + CONTEXT)) if windowing else (F.lit(1), F.col("total"))
@@ -74,21 +105,32 @@ def hunks(findings: DataFrame, files: DataFrame, windowing: bool = True) -> Data
     out = out.join(files.select("path", "text"), "path").withColumn("window", F.slice(lines, F.col("start"), F.col("end") - F.col("start") + 1))
     hidden = (F.col("def_line") > 0) & (F.col("def_line") < F.col("start")) & ~F.exists("window", lambda x: F.ltrim(x).startswith("def "))
     out = out.withColumn("enclosing", F.when(hidden if windowing else F.lit(False), F.trim(F.get(lines, F.col("def_line") - 1))))
-    head = F.concat(F.lit("--- "), "path", F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"))
-    code = F.concat_ws("\n", head, F.concat(F.lit("     | (in) "), "enclosing"), T.rendered(F.col("window"), F.col("start")))
-    out = out.withColumn("code", code).withColumn("token_cost", T.tokens(F.array_join("window", "\n")))
+    shown = F.concat_ws("\n", F.concat(F.lit("     | (in) "), "enclosing"), T.rendered(F.col("window"), F.col("start")))
+    out = out.withColumn("shown", shown).withColumn("token_cost", T.tokens(F.array_join("window", "\n")))
     return out.withColumn("oversized", (F.col("token_cost") > OVERSIZED) & F.lit(windowing)).drop("text", "window", "def_line")
 
 
-def clustered(rows: DataFrame, levers: Levers = Levers()) -> tuple[DataFrame, DataFrame]:
-    """(clusters, members): hunks of one fingerprint, at most MEMBERS of them, so that no answer reaches further; a larger
-    group becomes numbered clusters. A cluster shows its cheapest members and, as examples, the approved decisions most
-    similar to all its members' shapes and signatures."""
+def texts_hunks(base: DataFrame, findings: Callable[[DataFrame], DataFrame], windowing: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, texts): base (path, key, text, found, error) of files with open sites to their windows, and the windows by
+    text, with ``hunk``, an id. One file of each key, the first by path, is cut into windows; the others get the same."""
+    firsts = kept(base.groupBy("key").agg(F.min("path").alias("path")), "firsts")
+    one = base.join(firsts.select("path"), "path", "left_semi")
+    found = windows(findings(one), one, windowing).join(firsts, "path").drop("path")
+    texts = kept(found.withColumn("hunk", F.monotonically_increasing_id()), "hunks")
+    return base.select("path", "key").join(texts, "key").drop("key"), texts
+
+
+def clustered(rows: DataFrame, texts: DataFrame, levers: Levers = Levers()) -> tuple[DataFrame, DataFrame]:
+    """(clusters, members) of texts_hunks(): hunks of one fingerprint, at most MEMBERS of them, so that no answer reaches
+    further; a larger group becomes numbered clusters. A cluster shows its cheapest members and, as examples, the approved
+    decisions most similar to all its members' shapes and signatures. No code takes part before it is shown."""
     named = T.fingerprint(F.col("shapes"), F.col("signature"))
     named = named if levers.clustering else F.concat(F.lit("solo-"), F.substring(F.md5(F.concat_ws("|", "path", F.col("start").cast("string"))), 1, 12))
-    rows = R.sharded(rows.withColumn("fingerprint", named), "fingerprint", ["path", "start", "end", "site_lines"], MEMBERS)
-    rows = rows.withColumn("fingerprint", F.col("shard")).drop("shard")
-    shown = R.first_k(rows, ["fingerprint"], ["token_cost", "path", "start"], SHOWN)
+    rows = rows.select("path", "start", "end", "site_lines", "shapes", "signature", "token_cost", "hunk", named.alias("fingerprint"))
+    rows = R.sharded(rows, "fingerprint", ["path", "start", "end", "site_lines"], MEMBERS)
+    rows = kept(rows.withColumn("fingerprint", F.col("shard")).drop("shard"), "members")
+    shown = R.first_k(rows.select("fingerprint", "token_cost", "path", "start", "end", "hunk"), ["fingerprint"], ["token_cost", "path", "start"], SHOWN)
+    shown = coded(shown.join(texts.select("hunk", "reasons", "shown"), "hunk"))
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("rank", c))), lambda x: x[c])
     bodies = shown.groupBy("fingerprint").agg(F.array_join(in_order("code"), "\n").alias("code"), F.array_join(F.array_distinct(F.flatten(in_order("reasons"))), "; ").alias("reasons"))
     keys = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.concat("shapes", "signature"))))).alias("keys")
@@ -98,7 +140,7 @@ def clustered(rows: DataFrame, levers: Levers = Levers()) -> tuple[DataFrame, Da
     told = examples(clusters.select("fingerprint", "keys")) if levers.exemplars else clusters.select("fingerprint", F.expr("cast(array() as array<string>)").alias("examples"))
     clusters = clusters.join(told, "fingerprint", "left").withColumn("examples", F.coalesce("examples", F.expr("cast(array() as array<string>)")))
     cost = T.tokens(F.col("body")) + T.tokens_all(F.col("examples"))
-    return clusters.select("fingerprint", "shapes", "size", "body", "examples", cost.alias("token_cost")), rows.select("fingerprint", "path", "start", "site_lines")
+    return kept(clusters.select("fingerprint", "shapes", "size", "body", "examples", cost.alias("token_cost")), "clusters"), rows.select("fingerprint", "path", "start", "site_lines")
 
 
 def library(spark: SparkSession) -> DataFrame:
@@ -156,36 +198,56 @@ def replayed(files: DataFrame, members: DataFrame, answers: DataFrame) -> DataFr
     return rules.migrated(files, work.select("path", F.struct("start", "fingerprint").alias("batch_ord"), F.col("site_lines").alias("lines"), "rules"))
 
 
+@dataclass
+class Asked:
+    """What is known before any model is asked; the columns are Migration's."""
+
+    codemod: DataFrame
+    hunks: DataFrame
+    clusters: DataFrame
+    members: DataFrame
+    told: list[DataFrame]
+
+
+def gathered(files: DataFrame, levers: Levers = Levers()) -> Asked:
+    """The stages before the model: files (path, text) scanned, open sites cut into hunks, hunks clustered."""
+    key = T.named("original").alias("key")
+    base = kept(syntax.codemod(files, levers.deterministic).select("path", key, "original", "text", "n_resolved", "n_unresolved", "error", "found"), "codemod")
+
+    def found(rows: DataFrame) -> DataFrame:
+        rows = syntax.sites(rows)
+        return rows if levers.deterministic else rows.withColumn("resolved", F.col("error").isNotNull())
+
+    rows, texts = texts_hunks(base.where("n_unresolved > 0"), found, levers.windowing)
+    clusters, members = clustered(rows, texts, levers)
+    large = F.concat(F.lit("lines "), F.col("start").cast("string"), F.lit(" to "), F.col("end").cast("string"), F.lit(" cost "), F.col("token_cost").cast("string"), F.lit(" tokens"))
+    warnings = [_warned(base.where("error is not null"), "scan", F.col("error")), _warned(rows.where("oversized"), "hunk", large)]
+    return Asked(base, coded(rows).drop("hunk"), clusters, members, warnings)
+
+
 def migrate(files: DataFrame, model: A.Model, strong: A.Model | None = None, attempts: int = 1, levers: Levers = Levers()) -> Migration:
     """files (path, text), paths unique. With a strong model, clusters that have a member in an unverified file are asked
     again, at most ``attempts`` times; new answers replace old ones and all rules run anew on the mechanical result."""
-    base = kept(syntax.codemod(files, levers.deterministic).select("path", "original", "text", "n_resolved", "n_unresolved", "error", "found"), "codemod")
-    texts = base.withColumn("n_found", F.col("n_resolved") + F.col("n_unresolved"))
-    found = syntax.sites(base)
-    found = found if levers.deterministic else found.withColumn("resolved", F.col("error").isNotNull())
-    rows = kept(hunks(found, texts.where("n_unresolved > 0"), levers.windowing), "hunks")
-    clusters, members = (kept(x, n) for x, n in zip(clustered(rows, levers), ("clusters", "members"), strict=True))
+    own = gathered(files, levers)
+    clusters, members = own.clusters, own.members
+    texts = own.codemod.withColumn("n_found", F.col("n_resolved") + F.col("n_unresolved"))
     answers, usage, told = ask(clusters, model, "cheap", 0, levers.packing)
     declined = answers.where(F.coalesce("escalate", F.lit("")) != "").count()
-    warn = lambda d, stage, text: d.select(F.lit(stage).alias("stage"), "path", text.alias("warning"))
-    warnings = [warn(base.where("error is not null"), "scan", F.col("error")), warn(rows.where("oversized"), "hunk", F.concat(F.lit("lines "), F.col("start").cast("string"), F.lit(" to "), F.col("end").cast("string"), F.lit(" cost "), F.col("token_cost").cast("string"), F.lit(" tokens"))), told]
-    output, rounds, escalations, ledgers = kept(replayed(texts, members, answers), "output"), 0, 0, [usage]
-    failed = lambda: output.where(F.size("failures") > 0).select("path")
+    warnings = [*own.told, told]
+    output, rounds, escalations, ledgers = None, 0, 0, [usage]
     while strong and rounds < attempts:
-        again = kept(clusters.join(members.join(failed(), "path").select("fingerprint").distinct(), "fingerprint"), "implicated")
+        output = replayed(texts, members, answers) if output is None else output
+        failed = output.where(F.size("failures") > 0).select("path")
+        again = kept(clusters.join(members.join(failed, "path").select("fingerprint").distinct(), "fingerprint"), "implicated")
         if again.isEmpty():
             break
         new, usage, told = ask(again, strong, "strong", rounds + 1, levers.packing)
         ledgers.append(usage)
         warnings.append(told)
         escalations += new.count()
-        answers, rounds = kept(R.upsert(answers, new, ["fingerprint"]), "answers"), rounds + 1
-        output = kept(replayed(texts, members, answers), "output")
-    warnings.append(warn(output.select("path", F.explode("errors").alias("e")), "apply", F.col("e")))
-    if not strong:
-        warnings.append(warn(failed(), "escalate", F.lit("unverified, and there is no model left to ask")))
-    all_of = lambda tables: reduce(DataFrame.unionByName, tables)
-    return Migration(output, base, rows, clusters, members, answers, all_of(ledgers), all_of(warnings), declined, escalations, rounds)
+        answers, rounds, output = kept(R.upsert(answers, new, ["fingerprint"]), "answers"), rounds + 1, None
+    replay = lambda: replayed(texts, members, answers) if output is None else output
+    return Migration(own.codemod, own.hunks, clusters, members, answers, reduce(DataFrame.unionByName, ledgers), warnings, declined, escalations, rounds, not strong, replay)
 
 
 def ledger(usage: DataFrame) -> DataFrame:

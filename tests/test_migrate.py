@@ -211,3 +211,18 @@ def test_the_migration_scans_its_files_once(spark, monkeypatch):
     monkeypatch.setattr(syntax, "_scanned", lambda *a: scans.append(a) or scan(*a))
     found = migrate.migrate(corpus(spark), answers.Planner())
     assert len(scans) == 1 and found.rules().count() == 2
+
+
+def test_equal_texts_are_cut_and_rewritten_once(spark, monkeypatch):
+    cut, done, windows = [], [], migrate.windows
+    monkeypatch.setattr(migrate, "windows", lambda found, rows, w: cut.append(rows.count()) or windows(found, rows, w))
+    rows = [(f"a{i}.py", CALL.format("x")) for i in range(6)] + [(f"b{i}.py", RETRY.format(i)) for i in range(2)] + [("null.py", None), ("empty.py", "")]
+    files_ = spark.createDataFrame(rows, "path string, text string")
+    found = migrate.migrate(files_, answers.Planner())
+    apply = type(files_).mapInArrow
+    monkeypatch.setattr(type(files_), "mapInArrow", lambda d, *a: done.append(d.count()) or apply(d, *a))
+    got = {r.path: r for r in found.output.collect()}
+    assert cut == [3] and done == [5] and len(got) == 10 and found.hunks.count() == 8
+    assert {r.code.split("\n")[0] for r in found.hunks.collect() if r.path < "b"} == {f"--- a{i}.py:1-5" for i in range(6)}
+    assert all(not r.failures for r in got.values()) and (got["null.py"].text, got["null.py"].changed) == ("", False)
+    assert {got[f"a{i}.py"].text for i in range(6)} == {CALL.format("x").replace("requests", "httpx").replace("get(u)", "get(u, timeout=120.0)")}

@@ -14,3 +14,16 @@ def test_similar_topk_equals_brute_force(spark, indexed, least):
         best = sorted(((-s, e) for s, e in scored if s >= least))[:3]
         want += [(q, e, -s, i + 1) for i, (s, e) in enumerate(best)]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_packing_carries_its_open_request_from_one_fold_to_the_next(spark):
+    costs = [(i * 7919) % 900 + (5000 if i % 97 == 0 else 0) for i in range(3 * R.FOLDED + 5)]
+    rows = spark.createDataFrame([("a", i, c) for i, c in enumerate(costs)] + [("b", 1, 9)], "g string, i long, c long")
+    got = [(r.request, list(r["items"]), r.payload) for r in R.packed(rows, ["g"], "i", "c", 2400, 6).where("g = 'a'").orderBy("request").collect()]
+    want = []
+    for i, c in enumerate(costs):
+        if not want or len(want[-1][0]) >= 6 or want[-1][1] + c > 2400:
+            want.append([[], 0])
+        want[-1][0].append(i)
+        want[-1][1] += c
+    assert got == [(n, items, payload) for n, (items, payload) in enumerate(want)]
