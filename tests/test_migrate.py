@@ -226,3 +226,20 @@ def test_equal_texts_are_cut_and_rewritten_once(spark, monkeypatch):
     assert {r.code.split("\n")[0] for r in found.hunks.collect() if r.path < "b"} == {f"--- a{i}.py:1-5" for i in range(6)}
     assert all(not r.failures for r in got.values()) and (got["null.py"].text, got["null.py"].changed) == ("", False)
     assert {got[f"a{i}.py"].text for i in range(6)} == {CALL.format("x").replace("requests", "httpx").replace("get(u)", "get(u, timeout=120.0)")}
+
+
+def test_a_query_runs_no_stage_that_its_result_does_not_hold(spark, monkeypatch, tmp_path):
+    from sievewright.plans import sources
+
+    def never(*_):
+        raise AssertionError
+
+    spark.range(30).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    monkeypatch.setattr(migrate, "replayed", never)
+    assert sources.migration_rules(spark, str(tmp_path)).count() > 0
+    made, read = [], sources.files
+    monkeypatch.setattr(sources, "files", lambda *a: made.append(a) or read(*a))
+    monkeypatch.setattr(migrate, "naive", lambda rows, naive=migrate.naive: naive(rows) if any("codemod-" in f for f in rows.inputFiles()) else never())
+    assert sources.migration_comparison(spark, str(tmp_path)).count() == 5 and len(made) == 1
+    monkeypatch.setattr(migrate, "ask", never)
+    assert sources.migration_clusters(spark, str(tmp_path)).count() > 0
