@@ -47,15 +47,16 @@ PAD, END = 0xFE, 0xFF
 
 
 def symbols(w: W.Words, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Texts with pads before and an end after each; positions that are coded."""
-    n, size = len(w.text) - 1, np.diff(w.text)
+    """Texts with pads before and an end after each; which of them are coded."""
+    n = len(w.text) - 1
     out = np.full(len(w.data) + n * (order + 1), PAD, np.uint8)
     shift = np.arange(1, n + 1) * order + np.arange(n)
-    out[np.arange(len(w.data)) + np.repeat(shift, size)] = w.data
-    out[w.text[1:] + shift] = END
-    at = np.ones(len(out), bool)
+    at, ends = np.ones(len(out), bool), w.text[1:] + shift
     at[(np.repeat(w.text[:-1] + shift, order) - np.tile(np.arange(1, order + 1), n))] = False
-    return out, np.flatnonzero(at)
+    at[ends] = False
+    out[at] = w.data
+    out[ends], at[ends] = END, True
+    return out, at
 
 
 def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,10 +69,13 @@ def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def runs(w: W.Words, order: int) -> np.ndarray:
     """The run that ends in each coded byte: itself in the lowest 8 bits, the byte before it in the next, and so on."""
     text, at = symbols(w, order)
-    code = np.zeros(len(at), U)
-    for j in range(order + 1):
-        code |= text[at - j].astype(U) << U(8 * j)
-    return code
+    code, size = text.astype(U), 1
+    while size <= order:
+        more = min(size, order + 1 - size)
+        longer = code.copy()
+        longer[size:] |= _tail(code[:-size], more) << U(8 * size)
+        code, size = longer, size + more
+    return code[at]
 
 
 def _counted(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -217,6 +217,29 @@ def test_language_model_base_and_score(spark, rows):
     assert all(r.train_tokens == n and abs(r.base_score - want[r.doc_id]) < 1e-6 for r in got)
 
 
+@pytest.mark.parametrize("order", range(8))
+def test_language_model_runs_read_each_symbol_once(order, monkeypatch):
+    """Byte by byte over plain texts; bytes are gathered once a run, not once for each byte of it."""
+    texts, gathered, symbols = ["", "a", "Zwölf é", "abcabcabcabc" * 3, ""], [], lm.symbols
+
+    class Counted(np.ndarray):
+        def __getitem__(self, at):
+            gathered.append(isinstance(at, np.ndarray))
+            return super().__getitem__(at)
+
+    def counted(w, n):
+        text, at = symbols(w, n)
+        return text.view(Counted), at
+
+    monkeypatch.setattr(lm, "symbols", counted)
+    for values in ([], texts):
+        for w in lm.W.texts(pa.array(values, pa.string())):
+            got = np.asarray(lm.runs(w, order)).tolist()
+            coded = [[0xFE] * order + list(re.sub("[A-Z]+", lambda m: m[0].lower(), t).encode()) + [0xFF] for t in values]
+            assert got == [sum(t[i - j] << 8 * j for j in range(order + 1)) for t in coded for i in range(order, len(t))]
+    assert sum(gathered) <= 1
+
+
 @pytest.mark.parametrize(("order", "share"), [(3, 1024), (6, 0), (6, 40), (6, 1 << 30), (7, 1024)])
 def test_language_model_score_equals_brute_force(spark, rows, order, share):
     """Symbol by symbol over plain dictionaries, with the excluded symbols as a set; no, some or all contexts frequent."""
