@@ -113,7 +113,7 @@ def scan_sites(spark, d):
 
 @query(_FILES + " SELECT path, md5(mechanical) AS digest FROM files")
 def codemod_texts(spark, d):
-    return syntax.codemod(files(spark, d)).select("path", F.md5(F.col("text").cast("binary")).alias("digest"))
+    return syntax.rewritten(files(spark, d)).select("path", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query(_FILES + f" SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM files WHERE text <> mechanical) AS files_changed, (SELECT count(*) FROM files WHERE text <> mechanical AND NOT hard) AS files_fully_resolved, (SELECT count(*) FROM files WHERE hard) AS files_needing_model, {_MECH} AS resolved_sites, {_HARD} AS unresolved_sites, CAST(0 AS BIGINT) AS errors FROM key")

@@ -6,7 +6,7 @@ draw(id, 0, 100) < untouched; else it has a header and 1 + draw(id, 1, 4) parts,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEED, UNTOUCHED, MODULUS = 20240914, 30, 2**31 - 1
@@ -23,6 +23,8 @@ PARTS = {
 }
 SHAPES = ["mechanical_call", "mechanical_redirect", "mechanical_session", "ambiguous_timeout", "ambiguous_retry", "ambiguous_status"]
 WHOLE = sum(w for w, _ in PARTS.values())
+#: Fixed: parts of a file at most.
+MOST = 4
 
 HEADER = '''"""Client of the {noun} service."""
 
@@ -151,32 +153,26 @@ def show_{noun}_{n}(key, view):
 }
 
 
-def draw(i: int | Column, most: int, seed: int = SEED) -> Column:
-    return ((F.col("id") + 1) * 7919 + (F.lit(i) if isinstance(i, int) else i) * 104729 + seed) * 48271 % MODULUS % most
-
-
-def _picked(at: Column) -> Column:
-    """Which part a draw below WHOLE falls on, by cumulative weight."""
-    upper, total = [], 0
-    for weight, _ in PARTS.values():
-        total += weight
-        upper.append(total)
-    return F.size(F.filter(F.array(*map(F.lit, upper)), lambda x: x <= at))
+def draw(i: int, most: int, seed: int = SEED) -> str:
+    return f"((id + 1) * 7919 + {i} * 104729 + {seed}) * 48271 % {MODULUS} % {most}"
 
 
 def corpus(ids: DataFrame, seed: int = SEED, untouched: int = UNTOUCHED) -> DataFrame:
-    """ids (id, unique): file_ord, path, text and the answer key, shapes: how many sites of each shape the text holds."""
-    noun = F.get(F.array(*map(F.lit, NOUNS)), draw(9, len(NOUNS), seed).cast("int"))
-    parts = F.when(draw(0, 100, seed) < untouched, F.expr("cast(array() as array<int>)")).otherwise(F.transform(F.sequence(F.lit(2), draw(1, 4, seed) + 2), lambda i: _picked(draw(i, WHOLE, seed))))
-    rows = ids.select(F.col("id").cast("long").alias("id")).withColumn("noun", noun).withColumn("parts", parts)
-    texts = F.array(*map(F.lit, TEXTS.values()))
-    filled = lambda text, n: F.replace(F.replace(text, F.lit("{noun}"), F.col("noun")), F.lit("{n}"), n.cast("string"))
-    body = F.array_join(F.transform("parts", lambda p, i: filled(F.get(texts, p), i)), "")
-    text = F.when(F.size("parts") == 0, filled(F.lit(PLAIN), F.lit(0))).otherwise(F.concat(filled(F.lit(HEADER), F.lit(0)), body))
-    sites = lambda shape: F.array(*[F.lit(held.get(shape, 0)) for _, held in PARTS.values()])
-    held = [F.aggregate(F.transform("parts", lambda p: F.get(sites(s), p)), F.lit(0), lambda a, n: a + n) for s in SHAPES]  # noqa: B023
-    key = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, SHAPES)), F.array(*held)), lambda _, n: n > 0)
-    return rows.select(F.col("id").alias("file_ord"), F.concat(F.lit("svc/"), "noun", F.lit("/client_"), F.col("id").cast("string"), F.lit(".py")).alias("path"), text.alias("text"), key.alias("shapes"))
+    """ids (id, unique): file_ord, path, text and the answer key, shapes: how many sites of each shape the text holds. All
+    texts that a part can have stand in constant arrays, so that a file's are looked up and not filled in again. Arrays are
+    one literal and expressions one string, as the driver makes columns one by one."""
+    of = lambda values, at: F.get(F.split(F.lit("\0".join(values)), "\0"), F.expr(at))
+    filled = lambda text, noun, n=0: text.replace("{noun}", noun).replace("{n}", str(n))
+    numbers = lambda values: f"array({', '.join(map(str, values))})"
+    by_roll = numbers(p for p, (weight, _) in enumerate(PARTS.values()) for _ in range(weight))
+    rows = ids.selectExpr("cast(id as long) AS id")
+    rows = rows.selectExpr("id", f"cast({draw(9, len(NOUNS), seed)} as int) AS noun", f"CASE WHEN {draw(0, 100, seed)} < {untouched} THEN 0 ELSE cast({draw(1, MOST, seed)} as int) + 1 END AS n")
+    rows = rows.selectExpr("id", "noun", "n", *(f"CASE WHEN n > {i} THEN get({by_roll}, cast({draw(i + 2, WHOLE, seed)} as int)) END AS part{i}" for i in range(MOST)))
+    body = [F.coalesce(of([filled(t, x, i) for x in NOUNS for t in TEXTS.values()], f"noun * {len(TEXTS)} + part{i}"), F.lit("")) for i in range(MOST)]
+    text = F.when(F.expr("n = 0"), of([filled(PLAIN, x) for x in NOUNS], "noun")).otherwise(F.concat(of([filled(HEADER, x) for x in NOUNS], "noun"), *body))
+    held = lambda shape: " + ".join(f"coalesce(get({numbers(h.get(shape, 0) for _, h in PARTS.values())}, part{i}), 0)" for i in range(MOST))
+    key = F.expr(f"map_filter(map({', '.join(f'{shape!r}, {held(shape)}' for shape in SHAPES)}), (shape, n) -> n > 0)")
+    return rows.select(F.col("id").alias("file_ord"), F.concat(F.lit("svc/"), of(NOUNS, "noun"), F.lit("/client_"), F.expr("cast(id as string)"), F.lit(".py")).alias("path"), text.alias("text"), key.alias("shapes"))
 
 
 def built(spark: SparkSession, n: int = 120, seed: int = SEED, untouched: int = UNTOUCHED) -> DataFrame:

@@ -64,3 +64,18 @@ def test_source_hunks_scans_each_file_once(spark):
 
     plan = sources.source_hunks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapIn" not in plan and "scanned-" in sources.source_hunks(spark, "/root/testdata/sf0.001").inputFiles()[0]
+
+
+def test_rewritten_hands_over_texts_alone_and_they_are_codemods(spark):
+    texts = [SOURCE, None, "def", "", "x = 'ü'\n", SOURCE.replace("timeout=3", "json=3"), SOURCE.replace("sync", "é")] * 50
+    rows = spark.createDataFrame([(f"{i}.py", t) for i, t in enumerate(texts)], "path string, text string").coalesce(1)
+    got = syntax.rewritten(rows)
+    assert got.columns == ["path", "text"] and {tuple(r) for r in got.collect()} == {(f"{i}.py", syntax.settled(t or "")[0]) for i, t in enumerate(texts)}
+    assert syntax.rewritten(rows.limit(0)).count() == 0
+
+
+def test_codemod_texts_scans_for_texts_and_the_corpus_looks_them_up(spark):
+    from sievewright.plans import sources
+
+    plan = sources.codemod_texts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "original" not in plan and "lambdafunction" not in plan
