@@ -36,11 +36,13 @@ def _blocks(texts: DataFrame, *keep: str) -> DataFrame:
 
 
 class Planner:
-    """Answers by fixed rules: a timeout by the kind of function, each known exception by its counterpart, else it declines."""
+    """Answers by fixed rules: a timeout by the kind of function, each known exception by its counterpart, else it declines.
+    A request is cut before its header lines, as the parser knows them; no line of it becomes a row."""
 
     def complete(self, requests: DataFrame) -> DataFrame:
-        whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
-        blocks = _blocks(requests).groupBy("request_id", "block").agg(whole.alias("body"))
+        head = r"^ *CLUSTER[^\S\n]+\S+[^\S\n]*$"
+        pieces = F.split(F.regexp_replace("text", r"\r\n?", "\n"), f"(?dm)(?={head})")
+        blocks = requests.select("request_id", F.posexplode_outer(pieces).alias("block", "body")).where(F.col("body").rlike(rf"(?dm)\A{head}"))
         has = lambda word: F.contains("body", F.lit(word))
         batch = T.looks_batch(F.col("body"))
         said = [F.when(has("ambiguous_timeout"), F.concat(F.lit("ACTION set_timeout value="), F.when(batch, BATCH_TIMEOUT).otherwise(INTERACTIVE_TIMEOUT)))]

@@ -46,7 +46,7 @@ class Migration:
     answers: DataFrame
     usage: DataFrame  # request_id, attempt, model, input_tokens, output_tokens, prefix_cached_tokens
     told: list[DataFrame]  # warnings of all stages before the replay
-    declined: int
+    first: DataFrame  # the first model's answers
     escalations: int
     rounds: int
     final: bool  # no model is left to ask
@@ -57,6 +57,11 @@ class Migration:
         """path, text, changed, errors, failures, warnings of every file; made when first asked for."""
         return self.replay()
 
+    @cached_property
+    def declined(self) -> int:
+        """How many clusters the first model declined."""
+        return self.first.where(F.coalesce("escalate", F.lit("")) != "").count()
+
     @cached_property
     def warnings(self) -> DataFrame:
         """stage, path, warning."""
@@ -110,14 +115,12 @@ def windows(findings: DataFrame, files: DataFrame, windowing: bool) -> DataFrame
     return out.withColumn("oversized", (F.col("token_cost") > OVERSIZED) & F.lit(windowing)).drop("text", "window", "def_line")
 
 
-def texts_hunks(base: DataFrame, findings: Callable[[DataFrame], DataFrame], windowing: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(rows, texts): base (path, key, text, found, error) of files with open sites to their windows, and the windows by
-    text, with ``hunk``, an id. One file of each key, the first by path, is cut into windows; the others get the same."""
-    firsts = kept(base.groupBy("key").agg(F.min("path").alias("path")), "firsts")
-    one = base.join(firsts.select("path"), "path", "left_semi")
-    found = windows(findings(one), one, windowing).join(firsts, "path").drop("path")
-    texts = kept(found.withColumn("hunk", F.monotonically_increasing_id()), "hunks")
-    return base.select("path", "key").join(texts, "key").drop("key"), texts
+def texts_hunks(files: DataFrame, texts: DataFrame, findings: Callable[[DataFrame], DataFrame], windowing: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, hunks): texts (key, text, found, error) with open sites are cut into windows, each with ``hunk``, an id; all
+    files (path, key) that hold a text get its windows."""
+    one = texts.withColumnRenamed("key", "path")
+    cut = kept(windows(findings(one), one, windowing).withColumnRenamed("path", "key").withColumn("hunk", F.monotonically_increasing_id()), "hunks")
+    return files.join(cut, "key").drop("key"), cut
 
 
 def clustered(rows: DataFrame, texts: DataFrame, levers: Levers = Levers()) -> tuple[DataFrame, DataFrame]:
@@ -133,7 +136,7 @@ def clustered(rows: DataFrame, texts: DataFrame, levers: Levers = Levers()) -> t
     shown = coded(shown.join(texts.select("hunk", "reasons", "shown"), "hunk"))
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("rank", c))), lambda x: x[c])
     bodies = shown.groupBy("fingerprint").agg(F.array_join(in_order("code"), "\n").alias("code"), F.array_join(F.array_distinct(F.flatten(in_order("reasons"))), "; ").alias("reasons"))
-    keys = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.concat("shapes", "signature"))))).alias("keys")
+    keys = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.concat("shapes", "signature"))))).alias("keys")
     sizes = rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("size"), F.min_by(F.array_distinct("shapes"), F.struct("path", "start")).alias("shapes"), keys)
     head = F.concat_ws("\n", F.concat(F.lit("CLUSTER "), "fingerprint"), F.concat(F.lit("SHAPES "), F.array_join("shapes", " ")), F.concat(F.lit("MEMBERS "), F.col("size").cast("string")), F.concat(F.lit("WHY "), "reasons"), "code")
     clusters = sizes.join(bodies, "fingerprint").withColumn("body", head)
@@ -145,7 +148,8 @@ def clustered(rows: DataFrame, texts: DataFrame, levers: Levers = Levers()) -> t
 
 def library(spark: SparkSession) -> DataFrame:
     """Approved decisions: keys, code, answer, shown (the text a request holds), token_cost."""
-    rows = spark.createDataFrame(prompts.LIBRARY, "keys array<string>, code string, answer string")
+    rows = [F.struct(F.array(*map(F.lit, keys)).alias("keys"), F.lit(code).alias("code"), F.lit(answer).alias("answer")) for keys, code, answer in prompts.LIBRARY]
+    rows = spark.range(1).select(F.inline(F.array(*rows)))
     return rows.withColumn("shown", F.concat_ws("\n", F.lit("EXAMPLE"), "code", "answer")).withColumn("token_cost", T.tokens(F.col("shown")))
 
 
@@ -160,8 +164,10 @@ def requests_of(clusters: DataFrame, packing: bool = True) -> DataFrame:
     """(request_id, expected, text): clusters, the largest first, packed greedily; an example stands once a request."""
     n = clusters.count()
     order = [F.desc("size"), F.col("fingerprint")]
-    dealt = clusters.repartitionByRange(-(-n // LANE), *order).withColumn("lane", F.spark_partition_id()) if n > LANE else clusters.withColumn("lane", F.lit(0))
-    items = kept(dealt, "items")
+    if n > LANE:
+        items = kept(clusters.repartitionByRange(-(-n // LANE), *order).withColumn("lane", F.spark_partition_id()), "items")
+    else:
+        items = clusters.withColumn("lane", F.lit(0))
     named = items.withColumn("key", F.struct((-F.col("size")).alias("least"), "fingerprint"))
     packs = R.packed(named, ["lane"], "key", "token_cost", PAYLOAD, ITEMS if packing else 1)
     ids = packs.select("lane", "request", F.posexplode("items").alias("n", "key")).withColumn("fingerprint", F.col("key.fingerprint"))
@@ -173,8 +179,9 @@ def requests_of(clusters: DataFrame, packing: bool = True) -> DataFrame:
 
 
 def ask(clusters: DataFrame, model: A.Model, name: str, attempt: int, packing: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(answers, usage, warnings). A model instance pays the fixed part of a request once in full."""
-    requests = kept(requests_of(clusters, packing), "requests")
+    """(answers, usage, warnings). A model instance pays the fixed part of a request once in full. Usage and warnings are
+    made from the table of responses when they are asked for."""
+    requests = kept(spread(requests_of(clusters, packing), "request_id"), "requests")
     said = requests.select("request_id", "expected", F.col("text").alias("asked")).join(model.complete(requests.select("request_id", "text")), "request_id", "left").fillna("", ["text"])
     said = kept(said, "responses")
     fixed = T.tokens(F.lit(prompts.SYSTEM))
@@ -188,7 +195,7 @@ def ask(clusters: DataFrame, model: A.Model, name: str, attempt: int, packing: b
         F.when((F.col("request_id") == F.col("first")) & F.lit(attempt <= 1), F.lit(0)).otherwise(fixed).cast("long").alias("prefix_cached_tokens"),
     )
     answers, warnings = A.parsed(said.drop("asked"))
-    return kept(answers, "answers"), kept(usage, "usage"), kept(warnings.select(F.lit("answer").alias("stage"), F.lit(None).cast("string").alias("path"), "warning"), "warnings")
+    return kept(answers, "answers"), usage, warnings.select(F.lit("answer").alias("stage"), F.lit(None).cast("string").alias("path"), "warning")
 
 
 def replayed(files: DataFrame, members: DataFrame, answers: DataFrame) -> DataFrame:
@@ -209,17 +216,31 @@ class Asked:
     told: list[DataFrame]
 
 
+def spread(rows: DataFrame, by: str) -> DataFrame:
+    """Rows that are few bytes but much work, dealt out to all tasks, which Spark would join into few."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), by)
+
+
+def scanned(files: DataFrame, deterministic: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, texts): files (path, text) are read once, into a table; rows are path and key, texts what codemod() says of
+    each text, by key. Each text is parsed once in all."""
+    own = kept(files.select("path", T.named("text").alias("key"), "text"), "files")
+    different = spread(own.select("key", "text").distinct(), "key")
+    return own.select("path", "key"), kept(syntax.codemod(different.withColumnRenamed("key", "path"), deterministic).withColumnRenamed("path", "key"), "codemod")
+
+
 def gathered(files: DataFrame, levers: Levers = Levers()) -> Asked:
     """The stages before the model: files (path, text) scanned, open sites cut into hunks, hunks clustered."""
-    key = T.named("original").alias("key")
-    base = kept(syntax.codemod(files, levers.deterministic).select("path", key, "original", "text", "n_resolved", "n_unresolved", "error", "found"), "codemod")
+    own, texts = scanned(files, levers.deterministic)
+    base = own.join(texts, "key").select("path", "key", "original", "text", "n_resolved", "n_unresolved", "error", "found")
 
     def found(rows: DataFrame) -> DataFrame:
         rows = syntax.sites(rows)
         return rows if levers.deterministic else rows.withColumn("resolved", F.col("error").isNotNull())
 
-    rows, texts = texts_hunks(base.where("n_unresolved > 0"), found, levers.windowing)
-    clusters, members = clustered(rows, texts, levers)
+    rows, cut = texts_hunks(own, texts.where("n_unresolved > 0").select("key", "text", "found", "error"), found, levers.windowing)
+    clusters, members = clustered(rows, cut, levers)
     large = F.concat(F.lit("lines "), F.col("start").cast("string"), F.lit(" to "), F.col("end").cast("string"), F.lit(" cost "), F.col("token_cost").cast("string"), F.lit(" tokens"))
     warnings = [_warned(base.where("error is not null"), "scan", F.col("error")), _warned(rows.where("oversized"), "hunk", large)]
     return Asked(base, coded(rows).drop("hunk"), clusters, members, warnings)
@@ -232,8 +253,7 @@ def migrate(files: DataFrame, model: A.Model, strong: A.Model | None = None, att
     clusters, members = own.clusters, own.members
     texts = own.codemod.withColumn("n_found", F.col("n_resolved") + F.col("n_unresolved"))
     answers, usage, told = ask(clusters, model, "cheap", 0, levers.packing)
-    declined = answers.where(F.coalesce("escalate", F.lit("")) != "").count()
-    warnings = [*own.told, told]
+    first, warnings = answers, [*own.told, told]
     output, rounds, escalations, ledgers = None, 0, 0, [usage]
     while strong and rounds < attempts:
         output = replayed(texts, members, answers) if output is None else output
@@ -247,7 +267,7 @@ def migrate(files: DataFrame, model: A.Model, strong: A.Model | None = None, att
         escalations += new.count()
         answers, rounds, output = kept(R.upsert(answers, new, ["fingerprint"]), "answers"), rounds + 1, None
     replay = lambda: replayed(texts, members, answers) if output is None else output
-    return Migration(own.codemod, own.hunks, clusters, members, answers, reduce(DataFrame.unionByName, ledgers), warnings, declined, escalations, rounds, not strong, replay)
+    return Migration(own.codemod, own.hunks, clusters, members, answers, reduce(DataFrame.unionByName, ledgers), warnings, first, escalations, rounds, not strong, replay)
 
 
 def ledger(usage: DataFrame) -> DataFrame:

@@ -243,3 +243,27 @@ def test_a_query_runs_no_stage_that_its_result_does_not_hold(spark, monkeypatch,
     assert sources.migration_comparison(spark, str(tmp_path)).count() == 5 and len(made) == 1
     monkeypatch.setattr(migrate, "ask", never)
     assert sources.migration_clusters(spark, str(tmp_path)).count() > 0
+
+
+def test_the_planner_cuts_requests_where_the_parser_does(spark):
+    body = "SHAPES ambiguous_timeout\n\n  12 | def nightly_x():\n"
+    texts = [f"EXAMPLE\nCLUSTER of two words\n\n  CLUSTER a-1001  \n{body}\n\nCLUSTER\tb-111\r\nWHY requests.exceptions.Timeout\rCLUSTER c\nnothing CLUSTER d", "no header\nCLUSTER\ne", "", None, "CLUSTER f\nSHAPES ambiguous_timeout"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "request_id long, text string")
+    got = {r.request_id: [x.split("\n")[:2] for x in r.text.split("\n\n")] for r in answers.Planner().complete(rows).collect()}
+    assert got == {
+        0: [["CLUSTER a-1001", "ACTION set_timeout value=120.0"], ["CLUSTER b-111", "ACTION map_exception from=requests.exceptions.Timeout to=httpx.TimeoutException"], ["CLUSTER c", "ESCALATE no action fits"]],
+        4: [["CLUSTER f", "ACTION set_timeout value=10.0"]],
+    }
+
+
+def test_rules_parse_each_text_once_and_keep_no_table_they_do_not_hold(spark, monkeypatch):
+    parsed, tables, scan, keep = [], [], syntax._scanned, migrate.kept
+    monkeypatch.setattr(syntax, "_scanned", lambda rows, *a: parsed.append(sorted(r.text or "-" for r in rows.collect())) or scan(rows, *a))
+    monkeypatch.setattr(migrate, "kept", lambda df, name: tables.append(name) or keep(df, name))
+    texts = [CALL.format("x"), RETRY.format(0), ODD, None, "def"]
+    found = migrate.migrate(spark.createDataFrame([(f"{i:02}.py", texts[i % 5]) for i in range(60)], "path string, text string").repartition(7), answers.Planner())
+    assert found.rules().count() == 2 and parsed == [sorted(t or "-" for t in texts)]
+    assert tables == ["files", "codemod", "hunks", "members", "clusters", "requests", "responses", "answers"]
+    assert found.declined == 1 and found.codemod.count() == 60 and found.hunks.count() == 36 and found.output.where("changed").count() == 24
+    assert {(r.stage, r.warning) for r in found.warnings.collect() if r.path == "04.py"} == {("scan", "SyntaxError")}
+    assert {r.path for r in found.codemod.where("original is null").collect()} == {f"{i:02}.py" for i in range(3, 60, 5)}
